@@ -139,59 +139,70 @@ def true_median(df: DataFrame, by, value: str, name: str, *, width: float) -> Da
 
 # ---------------------------------------------------------------- spatial joins
 
-def cells(df: DataFrame, x, y, size, halo: bool = False) -> DataFrame:
-    """Add the grid cell (_cx,_cy); with halo, one row for each of the 3×3 cells around it."""
-    cx, cy = F.floor(col(x) / size), F.floor(col(y) / size)
+def cells(df: DataFrame, coords, size, halo: bool = False) -> DataFrame:
+    """Add the grid cell _c0,_c1[,_c2] of the coordinates; with halo, one row per cell of the surrounding block."""
+    names = [f"_c{i}" for i in range(len(coords))]
+    home = [F.floor(col(c) / size) for c in coords]
     if not halo:
-        return df.withColumns({"_cx": cx, "_cy": cy})
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    return (df.withColumn("_o", F.explode(around))
-            .withColumns({"_cx": cx + F.col("_o.i"), "_cy": cy + F.col("_o.j")}).drop("_o"))
+        return df.withColumns(dict(zip(names, home)))
+    steps = [[]]
+    for _ in coords:
+        steps = [s + [d] for s in steps for d in (-1, 0, 1)]
+    around = F.array(*[F.struct(*[F.lit(d).alias(n) for n, d in zip(names, s)]) for s in steps])
+    out = df.withColumn("_o", F.explode(around))
+    return out.withColumns({n: h + F.col(f"_o.{n}") for n, h in zip(names, home)}).drop("_o")
 
 
-def radius_pairs(left: DataFrame, right: DataFrame, radius: float, by=()) -> DataFrame:
-    """Pairs within `radius`. left has (lid,lx,ly), right has (rid,rx,ry), both have `by`; adds d.
+def radius_pairs(left: DataFrame, right: DataFrame, radius, by=(), dims: int = 2) -> DataFrame:
+    """Pairs within `radius`. left has (lid,lx,ly[,lz]), right has (rid,rx,ry[,rz]), both have `by`; adds d.
 
-    The smaller-degree side is replicated into 3×3 cells; a pair meets in exactly one cell.
+    An equi-join on the grid cell: each right row is offered to its 3×3(×3) block, so a pair meets in one cell only.
     """
-    near = cells(right, "rx", "ry", radius, halo=True)
-    pairs = cells(left, "lx", "ly", radius).join(near, [*by, "_cx", "_cy"])
-    dx, dy = F.col("rx") - F.col("lx"), F.col("ry") - F.col("ly")
-    return (pairs.withColumn("d", F.sqrt(dx * dx + dy * dy)).where(F.col("d") <= radius).drop("_cx", "_cy"))
+    lc, rc = ["lx", "ly", "lz"][:dims], ["rx", "ry", "rz"][:dims]
+    names = [f"_c{i}" for i in range(dims)]
+    pairs = cells(left, lc, radius).join(cells(right, rc, radius, halo=True), [*by, *names])
+    square = sum(((F.col(b) - F.col(a)) * (F.col(b) - F.col(a)) for a, b in zip(lc, rc)), F.lit(0.0))
+    return pairs.withColumn("d", F.sqrt(square)).where(F.col("d") <= radius).drop(*names)
 
 
 def nearest(left: DataFrame, right: DataFrame, by=(), *, start: float, limit: float | None = None, growth: int = 4,
-            payload=()) -> DataFrame:
-    """Exact nearest right row for each left row (ties: smallest rid).
-
-    Rings widen by `growth` from `start`: a left row whose best hit lies within the ring radius is final, the others
-    go on to the next ring. With a `limit` the last ring is the limit itself, and rows without a hit are left out;
-    without one, rings go on until every left row that has any target in its group is served. Dense places are settled
-    in small cells, so no group is ever paired whole.
+            payload=(), dims: int = 2, slack: float = 0.0, refine=None) -> DataFrame:
+    """Exact nearest right row for each left row (ties: smallest rid): by..., lid, d, rid, payload...
+
+    Rings widen by `growth` from `start`: a left row with a hit inside the ring is final, the others go on to the next
+    ring. With a `limit` the last ring is the limit itself, and rows without a hit are left out; without one, rings go
+    on until every left row whose group has a target is served. Dense places are settled in small cells, so no group
+    is ever paired whole. Extended targets (segment pieces) give `refine`, which adds the true d and payload to
+    candidate rows, and the `slack` by which a target may reach nearer than its reference point.
     """
     by = list(by)
-    targets = right.select(*by, "rid", "rx", "ry", *payload)
-    todo = left.select(*by, "lid", "lx", "ly")
-    if limit is None:
-        todo = todo.join(right.select(*by).distinct(), by, "left_semi") if by else todo
+    refine = refine or (lambda pairs: pairs)
+    targets = right
+    todo = left.select(*by, "lid", *["lx", "ly", "lz"][:dims])
+    if by and limit is None:
+        todo = todo.join(right.select(*by).distinct(), by, "left_semi")
     done, radius = [], float(start)
     while True:
-        if limit is not None:
-            radius = min(radius, limit)
-        pairs = radius_pairs(todo, targets, radius, by)
-        best = pairs.groupBy(*by, "lid").agg(
-            F.min(F.struct("d", "rid", "rx", "ry", *payload)).alias("_b")).select(*by, "lid", "_b.*")
-        if limit is not None and radius >= limit:
+        last_ring = limit is not None and radius >= limit
+        radius = limit if last_ring else radius
+        pairs = refine(radius_pairs(todo, targets, radius + slack, by, dims)).where(F.col("d") <= radius)
+        best = (pairs.groupBy(*by, "lid")
+                .agg(F.min(F.struct("d", "rid", *payload)).alias("_b")).select(*by, "lid", "_b.*"))
+        if last_ring:
             done.append(best)
             break
         best = checkpoint(best)
         done.append(best)
-        todo = checkpoint(todo.join(best, [*by, "lid"], "left_anti"))
+        todo = checkpoint(todo.join(best.select(*by, "lid"), [*by, "lid"], "left_anti"))
         if todo.isEmpty():
             break
         radius *= growth
-    out = done[0]
-    for part in done[1:]:
+    return union_all(done)
+
+
+def union_all(parts) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
@@ -215,10 +226,7 @@ def greedy_pairs(candidates: DataFrame, by=(), cost: str = "cost") -> DataFrame:
         accepted.append(won)
         open_pairs = checkpoint(open_pairs.join(won.select(*by, "lid"), [*by, "lid"], "left_anti")
                                 .join(won.select(*by, "rid"), [*by, "rid"], "left_anti"))
-    out = accepted[0] if accepted else candidates.limit(0)
-    for part in accepted[1:]:
-        out = out.unionByName(part)
-    return out
+    return union_all(accepted) if accepted else open_pairs
 
 
 # ---------------------------------------------------------------- sequential folds
@@ -241,17 +249,16 @@ def chunked_fold(df: DataFrame, by, order, *, fields, zero: Column, step, emit,
     spread = grouped.groupBy(*by).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
 
     def run(part, state):
+        head = F.col("_rows")[0]
+        shapes = part.select(step(state, head).alias("s"), emit(step(state, head), head).alias("e")).schema
+        kind, item = shapes["s"].dataType.simpleString(), shapes["e"].dataType.simpleString()
+
         def advance(acc, row):
             after = step(acc["s"], row)
-            return F.struct(after.alias("s"), F.concat(acc["o"], F.array(emit(after, row))).alias("o"))
+            return F.struct(after.cast(kind).alias("s"), F.concat(acc["o"], F.array(emit(after, row))).cast(f"array<{item}>").alias("o"))
 
-        probe = part.select(emit(step(state, F.col("_rows")[0]), F.col("_rows")[0]).alias("e"),
-                            step(state, F.col("_rows")[0]).alias("s")).schema
-        start = F.struct(state.cast(probe["s"].dataType).alias("s"),
-                         F.array().cast(f"array<{probe['e'].dataType.simpleString()}>").alias("o"))
-        return part.withColumn("_f", F.aggregate("_rows", start, lambda acc, row: F.struct(
-            advance(acc, row)["s"].cast(probe["s"].dataType).alias("s"),
-            advance(acc, row)["o"].cast(f"array<{probe['e'].dataType.simpleString()}>").alias("o"))))
+        start = F.struct(state.cast(kind).alias("s"), F.array().cast(f"array<{item}>").alias("o"))
+        return part.withColumn("_f", F.aggregate("_rows", start, advance))
 
     if spread <= 1:
         return run(grouped, zero).select(*by, F.explode("_f.o").alias("_e")).select(*by, "_e.*")
@@ -266,7 +273,4 @@ def chunked_fold(df: DataFrame, by, order, *, fields, zero: Column, step, emit,
         part = checkpoint(part.select(*by, F.col("_f.o").alias("_o"), F.col("_f.s").alias("_s0")))
         outputs.append(part.select(*by, F.explode("_o").alias("_e")).select(*by, "_e.*"))
         carried = part.select(*by, "_s0")
-    out = outputs[0]
-    for part in outputs[1:]:
-        out = out.unionByName(part)
-    return out
+    return union_all(outputs)

@@ -1,7 +1,7 @@
 """Registered queries over the driver tables, with the SQL each one must equal."""
 import importlib
 
-MODULES = ["scalars"]
+MODULES = ["scalars", "quality", "geometry"]
 
 
 def load_all() -> None:

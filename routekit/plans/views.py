@@ -58,6 +58,23 @@ PROJECTIONS = {
         "seq": "CAST(event_id % 16 AS INT)",
         "ax": "(event_id % 16) * 56e0 + 40e0", "ay": "306e0 + (event_id % 16 % 3) * 4e0",
         "bx": "(event_id % 16 + 1) * 56e0 + 40e0", "by": "306e0 + ((event_id % 16 + 1) % 3) * 4e0"}, None),
+    # raw path operators: lines, cubic and quadratic curves, closes; later pages are dashed
+    "v_path_ops": ("events", {
+        "route_id": _ROUTE, "page": _PAGE, "path_id": "CAST(floor((event_id % 64) / 16e0) AS BIGINT)",
+        "seq": "CAST(event_id % 16 AS INT)",
+        "op": "CASE WHEN event_id % 16 = 0 OR (event_id % 64 >= 32 AND event_id % 16 % 3 = 0) THEN 'M' "
+              "WHEN event_id % 64 = 31 THEN 'Z' WHEN event_id % 4 = 1 THEN 'C' WHEN event_id % 4 = 2 THEN 'Q' ELSE 'L' END",
+        "x": "CASE WHEN event_id % 64 = 31 THEN NULL ELSE (event_id % 16) * 56e0 + 40e0 END",
+        "y": "CASE WHEN event_id % 64 = 31 THEN NULL ELSE 306e0 + (event_id % 16 % 3) * 4e0 END",
+        "x1": "(event_id % 16) * 56e0 - 5e0", "y1": "314e0 + (event_id % 5)",
+        "x2": "(event_id % 16) * 56e0 + 20e0", "y2": "300e0 - (event_id % 3)"}, None),
+    # map grid linework: alternating verticals and horizontals with jitter
+    "v_grid": ("events", {
+        "route_id": _ROUTE, "page": _PAGE, "seq": "CAST(event_id % 16 AS INT)",
+        "ax": "CASE WHEN event_id % 2 = 0 THEN (event_id % 16) * 60e0 + (event_id % 3) * 0.4e0 ELSE 10e0 END",
+        "ay": "CASE WHEN event_id % 2 = 0 THEN 5e0 ELSE (event_id % 16) * 60e0 + (event_id % 3) * 0.4e0 END",
+        "bx": "CASE WHEN event_id % 2 = 0 THEN (event_id % 16) * 60e0 + (event_id % 3) * 0.4e0 + 0.5e0 ELSE 900e0 + value END",
+        "by": "CASE WHEN event_id % 2 = 0 THEN 800e0 ELSE (event_id % 16) * 60e0 + (event_id % 3) * 0.4e0 + (event_id % 4) END"}, None),
     # pole symbols drawn on the page, unnumbered
     "v_symbols": ("events", {
         "route_id": _ROUTE, "sym_id": "event_id", "page": _PAGE,
