@@ -200,6 +200,29 @@ def nearest(left: DataFrame, right: DataFrame, by=(), *, start: float, limit: fl
     return union_all(done)
 
 
+def knn(left: DataFrame, right: DataFrame, k: int, by=(), *, start: float, growth: int = 4) -> DataFrame:
+    """Exact k nearest right rows of each left row, ties by rid: by..., lid, rid, d, rank (1-based).
+
+    Rings as in nearest: a left row is final once its ring holds k targets, or all targets of its group.
+    """
+    by = list(by)
+    targets = right.select(*by, "rid", "rx", "ry")
+    sizes = targets.groupBy(*by).agg(F.least(F.count("*"), F.lit(k)).alias("_need")) if by else None
+    todo = left.select(*by, "lid", "lx", "ly")
+    todo = todo.join(sizes, by) if by else todo.withColumn("_need", F.lit(k))
+    done, radius = [], float(start)
+    order = Window.partitionBy(*by, "lid").orderBy("d", "rid")
+    while True:
+        ranked = radius_pairs(todo, targets, radius, by).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        ranked = checkpoint(ranked.select(*by, "lid", "rid", "d", "rank", "_need"))
+        full = ranked.where(F.col("rank") == F.col("_need")).select(*by, "lid")
+        done.append(ranked.join(full, [*by, "lid"], "left_semi").drop("_need"))
+        todo = checkpoint(todo.join(full, [*by, "lid"], "left_anti"))
+        if todo.isEmpty():
+            return union_all(done)
+        radius *= growth
+
+
 def union_all(parts) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
@@ -229,6 +252,51 @@ def greedy_pairs(candidates: DataFrame, by=(), cost: str = "cost") -> DataFrame:
     return union_all(accepted) if accepted else open_pairs
 
 
+def _densest_cell(left: DataFrame, right: DataFrame, radius: float, by) -> int:
+    """Largest left×right population of one grid cell: the one number that picks the plan."""
+    count = lambda df, c, n: cells(df, c, radius).groupBy(*by, "_c0", "_c1").agg(F.count("*").alias(n))
+    met = count(left, ["lx", "ly"], "_nl").join(count(right, ["rx", "ry"], "_nr"), [*by, "_c0", "_c1"])
+    return met.agg(F.max(F.col("_nl") * F.col("_nr"))).first()[0] or 0
+
+
+def _match_piles(left: DataFrame, right: DataFrame, by) -> DataFrame:
+    """Zero-distance matches: points on one spot pair up in id order, by rank, without forming their product."""
+    def ranked(df, i, x, y):
+        spot = [*by, "_x", "_y"]
+        placed = df.withColumns({"_x": F.col(x), "_y": F.col(y)})
+        return ordered_scan(placed, spot, i, chunk=F.floor(F.col(i) / 65536), cumsum={"_rank": F.lit(1)}).select(*spot, "_rank", i)
+
+    same = ranked(left, "lid", "lx", "ly").join(ranked(right, "rid", "rx", "ry"), [*by, "_x", "_y", "_rank"])
+    return same.select(*by, "lid", "rid", F.lit(0.0).alias("d"))
+
+
+def assign_1to1(left: DataFrame, right: DataFrame, by=(), *, max_d: float, dense: int = 100_000) -> DataFrame:
+    """Greedy one-to-one nearest assignment within max_d: by..., lid, rid, d.
+
+    Equal to taking all pairs in ascending (d, lid, rid). Where a cell is dense the radius grows in bands: pairs of a
+    smaller band always come before those of a larger one, so finishing a band first keeps the greedy order while the
+    crowded spots empty out before wider cells are paired. Ids are numeric.
+    """
+    by = list(by)
+    left, right = left.select(*by, "lid", "lx", "ly"), right.select(*by, "rid", "rx", "ry")
+    bands, parts = [float(max_d)], []
+    if _densest_cell(left, right, max_d, by) > dense:
+        piles = checkpoint(_match_piles(left, right, by))
+        parts.append(piles)
+        left = checkpoint(left.join(piles.select(*by, "lid"), [*by, "lid"], "left_anti"))
+        right = checkpoint(right.join(piles.select(*by, "rid"), [*by, "rid"], "left_anti"))
+        while len(bands) < 8 and _densest_cell(left, right, bands[0], by) > dense:
+            bands.insert(0, bands[0] / 4)
+    for i, radius in enumerate(bands):
+        pairs = radius_pairs(left, right, radius, by).select(*by, "lid", "rid", F.col("d").alias("cost"))
+        won = greedy_pairs(pairs, by).select(*by, "lid", "rid", F.col("cost").alias("d"))
+        parts.append(won)
+        if i + 1 < len(bands):
+            left = checkpoint(left.join(won.select(*by, "lid"), [*by, "lid"], "left_anti"))
+            right = checkpoint(right.join(won.select(*by, "rid"), [*by, "rid"], "left_anti"))
+    return union_all(parts)
+
+
 # ---------------------------------------------------------------- sequential folds
 
 def chunked_fold(df: DataFrame, by, order, *, fields, zero: Column, step, emit, width: int = FOLD_CHUNK,
