@@ -232,18 +232,18 @@ def union_all(parts) -> DataFrame:
 
 # ---------------------------------------------------------------- assignment
 
-def greedy_pairs(candidates: DataFrame, by=(), cost: str = "cost") -> DataFrame:
+def greedy_pairs(candidates: DataFrame, by=(), left_rank=("cost", "lid", "rid"), right_rank=("cost", "lid", "rid")) -> DataFrame:
     """One-to-one matching that equals taking candidate pairs in ascending (cost, lid, rid) order.
 
     A pair that is the best of both its ends is always the next greedy choice for them, so all such pairs are accepted
-    at once and the rest goes another round. candidates: by..., lid, rid, cost, plus payload.
+    at once and the rest goes another round. candidates: by..., lid, rid, cost, plus payload. Other ranks give other
+    stable matchings, for example lefts served in id order.
     """
     by = list(by)
-    rank = F.struct(cost, "lid", "rid")
     open_pairs, accepted = checkpoint(candidates), []
     while not open_pairs.isEmpty():
-        by_left = open_pairs.groupBy(*by, "lid").agg(F.min(rank).alias("_k")).select(*by, "_k.lid", "_k.rid")
-        by_right = open_pairs.groupBy(*by, "rid").agg(F.min(rank).alias("_k")).select(*by, "_k.lid", "_k.rid")
+        by_left = open_pairs.groupBy(*by, "lid").agg(F.min(F.struct(*left_rank)).alias("_k")).select(*by, "_k.lid", "_k.rid")
+        by_right = open_pairs.groupBy(*by, "rid").agg(F.min(F.struct(*right_rank)).alias("_k")).select(*by, "_k.lid", "_k.rid")
         mutual = by_left.join(by_right, [*by, "lid", "rid"])
         won = checkpoint(open_pairs.join(mutual, [*by, "lid", "rid"], "left_semi"))
         accepted.append(won)

@@ -93,10 +93,10 @@ def _(v):
 @query("w10_impute_cross_page", f"""WITH RECURSIVE {SPR}, b AS (SELECT *, CASE WHEN pl <> ph THEN NULL ELSE meters END AS m0 FROM ar), c AS (SELECT *, lead(m0) OVER (PARTITION BY route_id ORDER BY lo) AS nm FROM b),
  rc AS (SELECT route_id, lo, m0 AS m, false AS filled FROM c WHERE lo = 1 UNION ALL
   SELECT c.route_id, c.lo, CASE WHEN c.m0 > 0 THEN c.m0 WHEN pl <> ph THEN coalesce((r.m + nm) / 2, r.m, nm) ELSE m0 END, NOT coalesce(c.m0 > 0, false) AND pl <> ph AND coalesce(r.m, nm) IS NOT NULL FROM c JOIN rc r ON c.route_id = r.route_id AND c.lo = r.lo + 1)
- SELECT route_id, lo, round(m, 6) AS meters, filled FROM rc""")
+ SELECT route_id, lo, round(m, 9) AS meters, filled FROM rc""")
 def _(v):
     rows = spans_drawn(v).withColumn("meters", F.when(F.col("page_lo") == F.col("page_hi"), F.col("meters")))
-    return rounded(sq.impute_cross_page(rows), "meters")
+    return rounded(sq.impute_cross_page(rows), "meters", places=9)
 
 
 @query("w23_prefill_gaps")
@@ -105,19 +105,20 @@ def _(v):
     return rounded(sq.prefill_gaps(spans_drawn(v), taps), "meters")
 
 
-PAIRS = "SELECT route_id, number AS src, number + 1 + CAST(row_id % 7 AS INT) AS dst FROM v_tracks"
+PAIRS = "SELECT a.route_id, a.number AS src, b.number AS dst FROM v_tracks a JOIN v_tracks b ON b.route_id = a.route_id AND b.number = a.number + 1 + CAST(a.row_id % 7 AS INT)"
 
 
 def far_pairs(v):
-    return v.tracks.selectExpr("route_id", "number AS src", "number + 1 + CAST(row_id % 7 AS INT) AS dst")
+    ahead = v.tracks.selectExpr("route_id", "number AS src", "number + 1 + CAST(row_id % 7 AS INT) AS dst")
+    return ahead.join(v.tracks.selectExpr("route_id", "number AS dst"), ["route_id", "dst"]).select("route_id", "src", "dst")
 
 
-@query("w11_chain_sum", f"""WITH p AS ({PAIRS}) SELECT p.route_id, src, dst, round(CASE WHEN count(s.meters) = dst - src THEN sum(s.meters) END, 6) AS chain_m FROM p LEFT JOIN v_spans s ON s.route_id = p.route_id AND s.lo >= src AND s.lo < dst AND dst <= 65 GROUP BY ALL""")
+@query("w11_chain_sum", f"""WITH p AS ({PAIRS}) SELECT route_id, src, dst, round(CASE WHEN k = dst - src THEN t END, 6) AS chain_m FROM (SELECT p.route_id, src, dst, count(s.meters) AS k, sum(s.meters) AS t FROM p LEFT JOIN v_spans s ON s.route_id = p.route_id AND s.lo >= src AND s.lo < dst GROUP BY p.route_id, src, dst)""")
 def _(v):
     return rounded(sq.chain_sum(v.spans, far_pairs(v)).drop("partial_m"), "chain_m")
 
 
-@query("w11_hop_metres", f"""WITH p AS ({PAIRS}), c AS (SELECT p.route_id, src, dst, sum(s.meters) AS t FROM p LEFT JOIN v_spans s ON s.route_id = p.route_id AND s.lo >= src AND s.lo < dst AND dst <= 65 GROUP BY ALL)
+@query("w11_hop_metres", f"""WITH p AS ({PAIRS}), c AS (SELECT p.route_id, src, dst, sum(s.meters) AS t FROM p LEFT JOIN v_spans s ON s.route_id = p.route_id AND s.lo >= src AND s.lo < dst GROUP BY p.route_id, src, dst)
  SELECT c.route_id, src, dst, round(coalesce(d.meters, t), 6) AS hop_m FROM c LEFT JOIN v_all_spans d ON d.route_id = c.route_id AND d.lo = src AND d.hi = dst AND d.meters > 0""")
 def _(v):
     return rounded(sq.hop_metres(v.all_spans, far_pairs(v)), "hop_m")
@@ -180,7 +181,7 @@ def _(v):
 
 MIR = f"""{ARC}, {hits_sql("SELECT route_id, page, CASE WHEN route_id % 3 = 0 THEN page * 32 - 15 - number ELSE number END AS point_id, x, y FROM v_tracks")}, {DRAWN},
  st AS (SELECT a.route_id, a.page, a.point_id AS number, abs(b.t - a.t) * scale AS arc, (a.page - 1) * 16 + 1 AS lo, a.page * 16 AS hi FROM hit a JOIN hit b ON b.route_id = a.route_id AND b.page = a.page AND b.point_id = a.point_id + 1 JOIN ds ON ds.route_id = a.route_id AND ds.page = a.page),
- fr AS (SELECT st.route_id, st.page, lo, hi, avg(abs(arc - f.meters)) AS forward, avg(abs(arc - m.meters)) AS mirrored FROM st LEFT JOIN v_spans f ON f.route_id = st.route_id AND f.lo = st.number LEFT JOIN v_spans m ON m.route_id = st.route_id AND m.lo = st.lo + st.hi - st.number - 1 GROUP BY ALL)"""
+ fr AS (SELECT st.route_id, st.page, st.lo, st.hi, avg(abs(arc - f.meters)) AS forward, avg(abs(arc - m.meters)) AS mirrored FROM st LEFT JOIN v_spans f ON f.route_id = st.route_id AND f.lo = st.number LEFT JOIN v_spans m ON m.route_id = st.route_id AND m.lo = st.lo + st.hi - st.number - 1 GROUP BY st.route_id, st.page, st.lo, st.hi)"""
 
 
 def flipped_hits(v):
