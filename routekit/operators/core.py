@@ -8,8 +8,8 @@
 """
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,12 +19,19 @@ FOLD_CHUNK = 512
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage into the cluster's shared checkpoint folder (a temporary one only where none is named)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
-    return df.checkpoint(eager=True)
+    """Cut lineage: write a table into the cluster's shared checkpoint folder and read it back.
+
+    A written table survives lost executors, and unlike Dataset.checkpoint it carries no constraints from the plan
+    before it, which would pile up over the rounds of a loop. A temporary folder is used only where none is named.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder}/routekit-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def col(value) -> Column:
