@@ -1,7 +1,7 @@
 """Registered queries over the driver tables, with the SQL each one must equal."""
 import importlib
 
-MODULES = ["scalars", "quality", "geometry", "sequence", "matching", "graph"]
+MODULES = ["scalars", "quality", "geometry", "sequence", "matching", "graph", "placement"]
 
 
 def load_all() -> None:

@@ -129,10 +129,10 @@ def _(v):
 
 def tree_links(v):
     """Each pole hangs on an earlier pole of its route: a forest by construction."""
-    return v.tracks.where("number > 1").selectExpr("route_id", "number AS v", "CASE WHEN source = 'error' THEN greatest(1, number - 5) ELSE number - 1 END AS u", "v AS meters")
+    return v.tracks.where("number > 1").selectExpr("route_id", "number AS v", "CASE WHEN source = 'error' THEN 1 ELSE CAST(floor(number / 2e0) AS INT) END AS u", "v AS meters")
 
 
-TREE = "tl AS (SELECT route_id, number AS v, CASE WHEN source = 'error' THEN greatest(1, number - 5) ELSE number - 1 END AS u, v AS meters FROM v_tracks WHERE number > 1)"
+TREE = "tl AS (SELECT route_id, number AS v, CASE WHEN source = 'error' THEN 1 ELSE CAST(floor(number / 2e0) AS INT) END AS u, v AS meters FROM v_tracks WHERE number > 1)"
 
 
 def walk(v):
