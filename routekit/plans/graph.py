@@ -70,7 +70,7 @@ def _(v):
  kp AS (SELECT region_id, u.i AS node, u.x AS x, u.y AS y FROM (SELECT region_id, unnest(ps) AS u FROM gl)), hm AS (SELECT sp.region_id, sp.x, sp.y, arg_min(kp.node, [sqrt(pow(kp.x - sp.x, 2) + pow(kp.y - sp.y, 2)), kp.node]) AS node FROM sp JOIN kp ON kp.region_id = sp.region_id AND sqrt(pow(kp.x - sp.x, 2) + pow(kp.y - sp.y, 2)) <= 0.05e0 GROUP BY ALL),
  pl AS (SELECT en.region_id, poly, edge_id, side, node FROM en JOIN hm USING (region_id, x, y)), ss AS (SELECT a.region_id, a.node AS u, b.node AS v FROM pl a JOIN pl b ON b.region_id = a.region_id AND b.edge_id = a.edge_id AND a.side = 0 AND b.side = 1),
  tp AS (SELECT DISTINCT region_id, node FROM (SELECT region_id, poly, node FROM pl GROUP BY ALL HAVING count(*) = 1)), fu AS (SELECT a.region_id, a.node AS u, b.node AS v FROM tp x JOIN kp a ON a.region_id = x.region_id AND a.node = x.node JOIN tp y ON y.region_id = x.region_id JOIN kp b ON b.region_id = y.region_id AND b.node = y.node WHERE a.node < b.node AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 0.3e0),
- al AS (SELECT * FROM ss UNION ALL SELECT * FROM fu) SELECT DISTINCT region_id, u, v FROM (SELECT * FROM al UNION ALL SELECT region_id, v, u FROM al) WHERE u <> v""" if False else None)
+ al AS (SELECT * FROM ss UNION ALL SELECT * FROM fu) SELECT DISTINCT region_id, u, v FROM (SELECT * FROM al UNION ALL SELECT region_id, v, u FROM al) WHERE u <> v""")
 def _(v):
     _, edges = gr.cable_graph(v.base_edges)
     return edges
@@ -202,8 +202,8 @@ def drawn_conns(v):
 
 
 @query("g13_drop_transitive", f"""WITH RECURSIVE {CON}, sd AS (SELECT route_id, src, dst FROM cn WHERE NOT gap), bw AS (SELECT route_id, src AS u, dst AS v, src AS s, dst AS d FROM sd UNION ALL SELECT route_id, dst, src, src, dst FROM sd), cd AS (SELECT route_id, src, dst FROM cn WHERE NOT gap AND source NOT IN ('bifurcation-main', 'inferred-label') AND dst > src + 1),
- re AS (SELECT route_id, src, dst, src AS at FROM cd UNION SELECT r.route_id, r.src, r.dst, b.v FROM re r JOIN bw b ON b.route_id = r.route_id AND b.u = r.at AND NOT (b.s = r.src AND b.d = r.dst) WHERE r.at <> r.dst),
- lo AS (SELECT DISTINCT route_id, src, dst FROM re WHERE at = dst), tk AS (SELECT DISTINCT route_id, src AS n FROM sd UNION SELECT route_id, dst FROM sd)
+ re AS (SELECT route_id, src, dst, src AS here FROM cd UNION SELECT r.route_id, r.src, r.dst, b.v FROM re r JOIN bw b ON b.route_id = r.route_id AND b.u = r.here AND NOT (b.s = r.src AND b.d = r.dst) WHERE r.here <> r.dst),
+ lo AS (SELECT DISTINCT route_id, src, dst FROM re WHERE here = dst), tk AS (SELECT DISTINCT route_id, src AS n FROM sd UNION SELECT route_id, dst FROM sd)
  SELECT route_id, src, dst, source, gap FROM cn WHERE (route_id, src, dst) NOT IN (SELECT (route_id, src, dst) FROM lo) AND NOT (gap AND abs(dst - src) > 1 AND (route_id, src) IN (SELECT (route_id, n) FROM tk) AND (route_id, dst) IN (SELECT (route_id, n) FROM tk))""")
 def _(v):
     return gr.drop_transitive(drawn_conns(v))
