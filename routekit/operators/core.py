@@ -320,6 +320,7 @@ def chunked_fold(df: DataFrame, by, order, *, fields, zero: Column, step, emit,
     grouped = (df.withColumn("_chunk", chunk)
                .groupBy(*by, "_chunk")
                .agg(F.array_sort(F.collect_list(F.struct(*order, *[f for f in fields if f not in order]))).alias("_rows")))
+    grouped = checkpoint(grouped)  # read twice below: once for the longest key, once for the fold
     position = F.row_number().over(Window.partitionBy(*by).orderBy("_chunk"))
     spread = grouped.groupBy(*by).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
 

@@ -36,9 +36,10 @@ def role_matches(layer, role: str) -> Column:
 
 
 def with_layer_role(items: DataFrame, layer: str = "layer") -> DataFrame:
-    """Add `roles`, the array of roles a layer plays, in name order."""
-    found = F.array(*[F.when(role_matches(layer, r), F.lit(r)) for r in sorted(ROLE_NAMES)])
-    return items.withColumn("roles", F.array_compact(found))
+    """Add `roles`, the array of roles a layer plays, in name order. Names are matched once each, then joined back."""
+    found = F.array(*[F.when(role_matches("_name", r), F.lit(r)) for r in sorted(ROLE_NAMES)])
+    names = items.select(F.col(layer).alias("_name")).distinct().select("_name", F.array_compact(found).alias("roles"))
+    return items.join(names, F.col(layer).eqNullSafe(F.col("_name")), "left").drop("_name")
 
 
 def missing_layers(layers: DataFrame, required=tuple(REQUIRED_LAYERS)) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from routekit.functions import dist2d, haversine_m, is_truncated, nineties_candidates, span_tolerance
-from routekit.operators.core import chunked_fold, number_chunk, ordered_scan
+from routekit.operators.core import checkpoint, chunked_fold, number_chunk, ordered_scan
 from routekit.operators.fits import principal_axis
 
 PAGE = ["route_id", "page"]
@@ -391,6 +391,7 @@ def reading_order(markers: DataFrame, gap: float = COLUMN_PT) -> DataFrame:
     opens = F.when(F.col("_px").isNull() | (F.col("x") - F.col("_px") > gap), F.col("x"))
     columns = ordered_scan(seen.withColumn("_open", opens), PAGE, ["x", "mark_id"], chunk=F.floor(F.col("x") / 256), cummax={"_column": "_open"})
     order = ["page", "_column", "y", "mark_id"]
+    columns = checkpoint(columns)
     return (ordered_scan(columns, "route_id", order, chunk=F.struct("page", "_column"), cumsum={"pos": F.lit(1)})
             .drop("_px", "_open", "_column"))
 

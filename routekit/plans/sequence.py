@@ -180,7 +180,8 @@ def _(v):
 
 
 MIR = f"""{ARC}, {hits_sql("SELECT route_id, page, CASE WHEN route_id % 3 = 0 THEN page * 32 - 15 - number ELSE number END AS point_id, x, y FROM v_tracks")}, {DRAWN},
- st AS (SELECT a.route_id, a.page, a.point_id AS number, abs(b.t - a.t) * scale AS arc, (a.page - 1) * 16 + 1 AS lo, a.page * 16 AS hi FROM hit a JOIN hit b ON b.route_id = a.route_id AND b.page = a.page AND b.point_id = a.point_id + 1 JOIN ds ON ds.route_id = a.route_id AND ds.page = a.page),
+ mm AS (SELECT route_id, page, min(point_id) AS lo, max(point_id) AS hi FROM hit GROUP BY ALL),
+ st AS (SELECT a.route_id, a.page, a.point_id AS number, abs(b.t - a.t) * scale AS arc, mm.lo, mm.hi FROM mm JOIN hit a ON a.route_id = mm.route_id AND a.page = mm.page JOIN hit b ON b.route_id = a.route_id AND b.page = a.page AND b.point_id = a.point_id + 1 JOIN ds ON ds.route_id = a.route_id AND ds.page = a.page),
  fr AS (SELECT st.route_id, st.page, st.lo, st.hi, avg(abs(arc - f.meters)) AS forward, avg(abs(arc - m.meters)) AS mirrored FROM st LEFT JOIN v_spans f ON f.route_id = st.route_id AND f.lo = st.number LEFT JOIN v_spans m ON m.route_id = st.route_id AND m.lo = st.lo + st.hi - st.number - 1 GROUP BY st.route_id, st.page, st.lo, st.hi)"""
 
 

@@ -16,25 +16,22 @@ CABLE_LAYERS = {"TrechoSecundarioAereo": "secondary", "TrechoPrimarioAereo": "pr
 _CHUNK = 65536
 
 
-def read_lines(spark: SparkSession, paths) -> DataFrame:
-    """(file, n, line) with 1-based line numbers."""
+def read_pairs(spark: SparkSession, paths) -> DataFrame:
+    """(file, pos, code, value, section, entity, var): entity counts the code-0 pairs so far, var the code-9 ones.
+
+    Each running pass is written out before the next one reads it, so no pass is computed twice.
+    """
     raw = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
                                         F.monotonically_increasing_id().alias("id"), F.trim("value").alias("line"))
     # ids restart a range per task, so a block may follow others of its task: the block offset orders first
-    return ordered_scan(checkpoint(raw), "file", ["block", "id"], chunk=F.struct("block", F.floor(F.col("id") / _CHUNK)), cumsum={"n": F.lit(1)}).select("file", "n", "line")
-
-
-def read_pairs(spark: SparkSession, paths) -> DataFrame:
-    """(file, pos, code, value, section, entity): entity counts the code-0 pairs so far."""
-    lines = read_lines(spark, paths)
-    paired = ordered_scan(lines, "file", "n", chunk=F.floor(F.col("n") / _CHUNK), lead={"value": "line"})
-    pairs = paired.where("n % 2 = 1").select("file", F.floor(F.col("n") / 2).alias("pos"), F.col("line").try_cast("int").alias("code"), "value")
+    lines = ordered_scan(checkpoint(raw), "file", ["block", "id"], chunk=F.struct("block", F.floor(F.col("id") / _CHUNK)), cumsum={"n": F.lit(1)}, lead={"value": "line"})
+    pairs = checkpoint(lines.where("n % 2 = 1").select("file", F.floor(F.col("n") / 2).alias("pos"), F.col("line").try_cast("int").alias("code"), "value"))
     chunk = F.floor(F.col("pos") / _CHUNK)
-    named = ordered_scan(pairs, "file", "pos", chunk=chunk, lead={"_next": F.struct("code", "value")})
-    opens = F.when((F.col("code") == 0) & (F.col("value") == "SECTION"), F.when(F.col("_next.code") == 2, F.col("_next.value")).otherwise("")) \
-        .when((F.col("code") == 0) & (F.col("value") == "ENDSEC"), "")
-    marked = named.withColumn("_opens", opens)
-    out = ordered_scan(marked, "file", "pos", chunk=chunk, last={"_sec": "_opens"}, cumsum={"entity": F.when(F.col("code") == 0, 1).otherwise(0), "var": F.when(F.col("code") == 9, 1).otherwise(0)})
+    named = checkpoint(ordered_scan(pairs, "file", "pos", chunk=chunk, lag={"_prev": F.struct("code", "value")}))
+    opens = F.when((F.col("_prev.code") == 0) & (F.col("_prev.value") == "SECTION"), F.when(F.col("code") == 2, F.col("value")).otherwise("")) \
+        .when((F.col("code") == 0) & F.col("value").isin("ENDSEC", "SECTION"), "")
+    out = ordered_scan(named.withColumn("_opens", opens), "file", "pos", chunk=chunk, last={"_sec": "_opens"},
+                       cumsum={"entity": F.when(F.col("code") == 0, 1).otherwise(0), "var": F.when(F.col("code") == 9, 1).otherwise(0)})
     return out.select("file", "pos", "code", "value", F.coalesce("_sec", F.lit("")).alias("section"), "entity", "var")
 
 
