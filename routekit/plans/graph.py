@@ -49,12 +49,12 @@ def _(v):
     return gr.bfs_tree(links(v)).select("route_id", "node", "level")
 
 
-@query("g8_shortest_lengths", f"""WITH RECURSIVE {LINK}, sr AS (SELECT DISTINCT route_id, u AS source FROM bw WHERE u IN (1, 12, 34)), ds AS (SELECT route_id, source, source AS node, 0e0 AS length, [source] AS path FROM sr
+@query("g8_shortest_lengths", f"""WITH RECURSIVE {LINK}, sr AS (SELECT route_id, min(u) AS source FROM bw GROUP BY 1), ds AS (SELECT route_id, source, source AS node, 0e0 AS length, [source] AS path FROM sr
   UNION ALL SELECT d.route_id, d.source, b.v, d.length + b.w, list_append(d.path, b.v) FROM ds d JOIN bw b ON b.route_id = d.route_id AND b.u = d.node WHERE NOT list_contains(d.path, b.v) AND d.length + b.w <= 250)
  SELECT route_id, source, node, round(min(length), 6) AS length FROM ds GROUP BY 1, 2, 3""")
 def _(v):
     adj = links(v)
-    sources = adj.select("route_id", F.explode(F.array("u", "v")).alias("node")).where("node IN (1, 12, 34)").distinct()
+    sources = adj.groupBy("route_id").agg(F.min(F.least("u", "v")).alias("node"))
     return rounded(gr.shortest_lengths(adj, sources, max_length=250.0), "length")
 
 
@@ -173,12 +173,12 @@ def topology_inputs(v):
     steps = v.base.selectExpr("region_id", "route_id", "idx AS v", "x AS x2", "y AS y2").withColumn("u", F.col("v") - 1)
     adj = (v.base.selectExpr("region_id", "route_id", "idx AS u", "x", "y").join(steps, ["region_id", "route_id", "u"])
            .selectExpr("region_id", "u", "v", "sqrt(pow(x - x2, 2) + pow(y - y2, 2)) AS w"))
-    jumps = v.jumps.where("source = 'bifurcation-main' AND route_id % 3 = 0")
+    jumps = v.jumps.where("source = 'bifurcation-main' AND meters > 60")
     return assign, conns, adj, gr.required_degree(jumps)
 
 
 @query("g17_topology_check", """WITH a AS (SELECT route_id, number, CASE WHEN source = 'error' AND route_id % 4 = 0 THEN row_id + 1 ELSE row_id END AS idx FROM v_tracks), tw AS (SELECT DISTINCT route_id FROM (SELECT route_id, idx FROM a GROUP BY ALL HAVING count(*) > 1)),
- rq AS (SELECT route_id, number, count(*) AS degree FROM (SELECT route_id, lo AS number FROM v_jumps WHERE source = 'bifurcation-main' AND route_id % 3 = 0 UNION ALL SELECT route_id, hi FROM v_jumps WHERE source = 'bifurcation-main' AND route_id % 3 = 0) GROUP BY ALL),
+ rq AS (SELECT route_id, number, count(*) AS degree FROM (SELECT route_id, lo AS number FROM v_jumps WHERE source = 'bifurcation-main' AND meters > 60 UNION ALL SELECT route_id, hi FROM v_jumps WHERE source = 'bifurcation-main' AND meters > 60) GROUP BY ALL),
  hv AS (SELECT b.idx, (SELECT count(*) FROM v_base c WHERE c.route_id = b.route_id AND abs(c.idx - b.idx) = 1) AS have FROM v_base b), th AS (SELECT DISTINCT a.route_id FROM rq JOIN a USING (route_id, number) LEFT JOIN hv USING (idx) WHERE least(greatest(coalesce(have, 0), 1), 3) < least(greatest(degree, 1), 3))
  SELECT r.route_id, tw.route_id IS NULL AND th.route_id IS NULL AS ok, CASE WHEN tw.route_id IS NOT NULL THEN 'collision' WHEN th.route_id IS NOT NULL THEN 'hub-degree' END AS reason FROM (SELECT DISTINCT route_id FROM a) r LEFT JOIN tw USING (route_id) LEFT JOIN th USING (route_id)""")
 def _(v):

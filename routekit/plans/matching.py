@@ -319,9 +319,9 @@ def _(v):
     return asn.demote_duplicates(refined(v), labels, v.tracks)
 
 
-@query("d7_drop_conflicting", f"""WITH cl AS (SELECT * FROM v_spans WHERE lo % 2 = 0 AND meters > 0) SELECT route_id, lo, hi, round(meters, 6) AS meters, source FROM v_all_spans s WHERE NOT (hi > lo + 1 AND meters IS NOT NULL AND EXISTS (SELECT 1 FROM cl c WHERE c.route_id = s.route_id AND abs(c.meters - s.meters) <= 0.05e0 AND NOT (c.lo = s.lo AND c.hi = s.hi)))""")
+@query("d7_drop_conflicting", f"""WITH cl AS (SELECT * FROM v_spans WHERE source = 'inferred-label' AND meters > 0) SELECT route_id, lo, hi, round(meters, 6) AS meters, source FROM v_all_spans s WHERE NOT (hi > lo + 1 AND meters IS NOT NULL AND EXISTS (SELECT 1 FROM cl c WHERE c.route_id = s.route_id AND abs(c.meters - s.meters) <= 0.05e0 AND NOT (c.lo = s.lo AND c.hi = s.hi)))""")
 def _(v):
-    return rounded(asn.drop_conflicting(v.all_spans, v.spans.where("lo % 2 = 0 AND meters > 0")), "meters")
+    return rounded(asn.drop_conflicting(v.all_spans, v.spans.where("source = 'inferred-label' AND meters > 0")), "meters")
 
 
 JB = """jb AS (SELECT DISTINCT j.route_id, j.lo, j.hi FROM v_all_spans j JOIN v_all_spans s ON s.route_id = j.route_id AND s.lo = j.lo AND s.hi = j.lo + 1 AND s.meters > 0 JOIN v_tracks a ON a.route_id = j.route_id AND a.number = j.hi WHERE j.meters > 0 AND j.hi - j.lo BETWEEN 4 AND 6),
@@ -378,7 +378,7 @@ def _(v):
     return asn.branch_returns(inferred_jumps(v))
 
 
-@query("d11_finalize_connections", f"""WITH {IJ}, {RC}, {BR}, co AS (SELECT route_id, lo AS src, hi AS dst, meters, source FROM ij WHERE hi = lo + 1 OR lo % 2 = 0),
+@query("d11_finalize_connections", f"""WITH {IJ}, {RC}, {BR}, co AS (SELECT route_id, lo AS src, hi AS dst, meters, source FROM ij WHERE hi = lo + 1 OR source = 'inferred-label'),
  dr AS (SELECT route_id, lo AS src, hi AS dst FROM ij WHERE meters IS NULL AND source IN ('jumpback-suppressed', 'bifurcation-cleared') UNION SELECT route_id, lo, hi FROM rc UNION SELECT route_id, rejoin - 1, rejoin FROM br
    UNION SELECT i.route_id, i.lo, i.hi FROM ij i JOIN br ON br.route_id = i.route_id AND br.rejoin = i.hi AND i.lo < br.junction WHERE i.source = 'inferred-label' AND i.meters > 0),
  mn AS (SELECT route_id, lo AS src, hi AS dst, meters, source FROM ij WHERE source = 'bifurcation-main' AND meters > 0 AND (route_id, lo, hi) NOT IN (SELECT (route_id, src, dst) FROM dr)), di AS (SELECT route_id, src + 1 AS src, dst FROM mn WHERE dst = src + 2),
@@ -387,7 +387,7 @@ def _(v):
  SELECT route_id, src, dst, round(meters, 6) AS meters, source FROM fu WHERE (route_id, src, dst) NOT IN (SELECT (route_id, src, dst) FROM dr UNION ALL SELECT (route_id, src, dst) FROM di)""")
 def _(v):
     spans = inferred_jumps(v)
-    conns = spans.where("hi = lo + 1 OR lo % 2 = 0").selectExpr("route_id", "lo AS src", "hi AS dst", "meters", "source")
+    conns = spans.where("hi = lo + 1 OR source = 'inferred-label'").selectExpr("route_id", "lo AS src", "hi AS dst", "meters", "source")
     return rounded(asn.finalize_connections(conns, spans), "meters")
 
 

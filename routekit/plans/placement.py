@@ -121,7 +121,7 @@ def _(v):
 @query("q7_seam_similarity")
 def _(v):
     turn = "page * 0.03e0"
-    samples = v.tracks.where("number % 16 BETWEEN 1 AND 5").selectExpr(
+    samples = v.tracks.selectExpr(
         "route_id", "page", "(number % 16) * 5e0 AS side_m", "e AS px", "n AS py", f"e * cos({turn}) + n * sin({turn}) + v / 100 AS qx", f"n * cos({turn}) - e * sin({turn}) - v / 200 AS qy")
     return rounded(pl.seam_similarity(samples).select("route_id", "page", "n", "scale", "theta", "accepted"), "scale", "theta")
 
