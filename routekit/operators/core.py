@@ -8,6 +8,7 @@
 """
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,20 +19,37 @@ CHUNK = 4096
 FOLD_CHUNK = 512
 
 
+_LOCAL: dict[str, str] = {}
+
+
+def shared_folder(spark) -> str:
+    """The folder in spark.checkpoint.dir. Only a single-machine session (local master) may leave it unset; it then gets
+    one temporary folder of its own, and the session's settings stay as they are. A cluster without it is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if not re.match(r"local($|\[)", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _LOCAL[context.applicationId]
+
+
+def scratch_path(spark, name: str = "routekit") -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage: write a table into the cluster's shared checkpoint folder and read it back.
 
     A written table survives lost executors, and unlike Dataset.checkpoint it carries no constraints from the plan
-    before it, which would pile up over the rounds of a loop. A temporary folder is used only where none is named.
+    before it, which would pile up over the rounds of a loop.
     """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/routekit-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def col(value) -> Column:

@@ -1,7 +1,6 @@
 """Placement, sources and output over whole tables."""
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -13,7 +12,7 @@ from routekit.operators import output as out
 from routekit.operators import placement as pl
 from routekit.operators import quality as ql
 from routekit.operators import sequence as sq
-from routekit.operators.core import checkpoint
+from routekit.operators.core import checkpoint, scratch_path
 from routekit.plans.geometry import arcs, hits
 from routekit.plans.graph import drawn_conns
 from routekit.plans.quality import tiers
@@ -149,8 +148,7 @@ def _(v):
 
 def scratch(v, name):
     """A new folder beside the checkpoints."""
-    base = v.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base}/{name}-{tempfile.mktemp(prefix='', dir='')[-8:].strip('/')}"
+    return scratch_path(v.spark, name)
 
 
 def cad_folder(v):
