@@ -33,7 +33,7 @@ def rarity_classes(lines: DataFrame) -> Column | None:
 
     Any fixed order gives exact results; counters that several words share only make it less sharp. COUNTERS rows reach
     the driver whatever the input."""
-    rows = (lines.select(F.explode(line_words(F.col("line"))).alias("w")).groupBy(F.pmod(F.xxhash64("w"), F.lit(COUNTERS)).cast("int").alias("at"))
+    rows = (lines.select(F.explode_outer(line_words(F.col("line"))).alias("w")).where("w IS NOT NULL").groupBy(F.pmod(F.xxhash64("w"), F.lit(COUNTERS)).cast("int").alias("at"))
             .agg(F.floor(F.log2(F.count("*").cast("double"))).cast("int").alias("class")).collect())
     if not rows:
         return None
@@ -56,7 +56,7 @@ def least_overlap(n: Column) -> Column:
 
 
 def numbered_lines(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    return docs.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("at", "line")).where("line IS NOT NULL")
 
 
 LINE = ("doc_id", "at")
@@ -95,9 +95,10 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     classes = rarity_classes(numbered_lines(docs))
     if classes is None:
         return docs.select("doc_id", F.lit(0).alias("at")).where("false")
-    tokens = numbered_lines(docs.where("doc_id IS NOT NULL")).select(*LINE, ordered_tokens(F.col("line"), classes).alias("tokens")).where(F.size("tokens") >= MIN_TOKENS)
+    tokens = numbered_lines(docs.where("doc_id IS NOT NULL")).select(*LINE, ordered_tokens(F.col("line"), classes).alias("tokens"))
     n = F.size("tokens")
-    sized = checkpoint(tokens.select(*LINE, n.alias("n"), F.xxhash64("tokens").alias("set"), F.slice("tokens", 1, n - least_overlap(n) + SHARED).alias("prefix")))
+    prefix = F.when(n >= MIN_TOKENS, F.slice("tokens", 1, n - least_overlap(n) + SHARED))
+    sized = checkpoint(tokens.select(*LINE, n.alias("n"), F.xxhash64("tokens").alias("set"), prefix.alias("prefix"))).where(F.col("n") >= MIN_TOKENS)
     firsts = sized.groupBy("set", "n").agg(F.min(F.struct(*LINE)).alias("first"), F.count("*").alias("copies"), F.any_value("prefix").alias("prefix"))
     sets = checkpoint(firsts.select("first.*", "set", "n", "copies", "prefix"))
     several = sets.where("copies > 1").select("set", "n", F.struct(*LINE).alias("first"))

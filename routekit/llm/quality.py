@@ -61,11 +61,13 @@ def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def grams(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
-    """A row for each hashed unigram and bigram of words and punctuation runs, in lower case: keep..., bucket."""
+    """A row for each hashed unigram and bigram of words and punctuation runs, in lower case: keep..., bucket.
+
+    Outer explodes: an inner one would make the planner test the arrays first, and so build them twice."""
     parts = docs.select(*keep, F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(PARTS), F.lit(0)).alias("_p"))
-    pairs = parts.select(*keep, F.inline(F.arrays_zip("_p", F.slice("_p", 2, F.greatest(F.size("_p"), F.lit(1))))).alias("a", "b"))
+    pairs = parts.select(*keep, F.inline_outer(F.arrays_zip("_p", F.slice("_p", 2, F.greatest(F.size("_p"), F.lit(1))))).alias("a", "b"))
     one, two = F.xxhash64("a"), F.xxhash64("a", "b")
-    both = pairs.select(*keep, F.explode(F.array(one, F.when(F.col("b").isNotNull(), two))).alias("_h")).where("_h IS NOT NULL")
+    both = pairs.select(*keep, F.explode_outer(F.array(F.when(F.col("a").isNotNull(), one), F.when(F.col("b").isNotNull(), two))).alias("_h")).where("_h IS NOT NULL")
     return both.select(*keep, F.pmod("_h", F.lit(BUCKETS)).cast("int").alias("bucket"))
 
 
