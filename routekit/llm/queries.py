@@ -3,7 +3,7 @@ import importlib
 
 from routekit.llm.common import ORACLES, QUERIES
 
-MODULES = ["simhash", "decontaminate", "quality", "lines", "pieces"]
+MODULES = ["simhash", "decontaminate", "quality", "lines", "pieces", "warc"]
 
 for _name in MODULES:
     importlib.import_module(f"routekit.llm.{_name}")
