@@ -3,7 +3,7 @@ import importlib
 
 from routekit.llm.common import ORACLES, QUERIES
 
-MODULES = ["simhash", "decontaminate", "classes", "quality", "lines", "pieces", "warc"]
+MODULES = ["simhash", "decontaminate", "classes", "quality", "substrings", "lines", "pieces", "warc"]
 
 for _name in MODULES:
     importlib.import_module(f"routekit.llm.{_name}")
