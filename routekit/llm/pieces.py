@@ -300,8 +300,8 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>, begins array<int>, ends array<int>, decoded string")
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    return encoded.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
+def digests(encoded: DataFrame, *more: str) -> DataFrame:
+    return encoded.select(F.col("id").alias("doc_id"), *more, F.size("ids").cast("long").alias("n_tokens"),
                           F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -78,8 +78,10 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 def log_ratios(docs: DataFrame, labels: DataFrame) -> Column | None:
     """log P(bucket | trusted) - log P(bucket | raw) as a constant array of BUCKETS numbers; add-one smoothed counts over
-    every document. Only the counts per bucket reach the driver, as many for any input."""
-    marked = docs.select("doc_id", "text").join(trusted_ids(labels), "doc_id", "left").select("text", (F.coalesce("quality", F.lit(0)) == 1).cast("long").alias("_good"))
+    every document. Only the counts per bucket reach the driver, as many for any input.
+
+    Labels grow with the corpus, so they are joined by a shuffle at every size."""
+    marked = docs.select("doc_id", "text").join(trusted_ids(labels).hint("shuffle_hash"), "doc_id", "left").select("text", (F.coalesce("quality", F.lit(0)) == 1).cast("long").alias("_good"))
     rows = grams(marked, "_good").groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("_good").alias("good")).collect()
     raw, good = [0] * BUCKETS, [0] * BUCKETS
     for row in rows:
