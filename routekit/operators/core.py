@@ -41,15 +41,25 @@ def scratch_path(spark, name: str = "routekit") -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage: write a table into the cluster's shared checkpoint folder and read it back.
 
     A written table survives lost executors, and unlike Dataset.checkpoint it carries no constraints from the plan
-    before it, which would pile up over the rounds of a loop.
+    before it, which would pile up over the rounds of a loop. Once it is written, the shuffle files of its job are
+    dropped, so a chain of such steps needs the disk of its largest one, not of all.
     """
-    path = scratch_path(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark)
+    before = spark.conf.get(CLEANUP, None)
+    try:
+        spark.conf.set(CLEANUP, "true")
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def col(value) -> Column:
