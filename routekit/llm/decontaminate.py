@@ -109,7 +109,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     items = items.where("item_id IS NOT NULL").select("item_id", "text")
     passages = checkpoint(found_passages(docs, items))
-    wanted = passages.join(docs, "doc_id").select(*passages.columns, tokens(F.col("text")).alias("doc_tokens")).join(items.select("item_id", tokens(F.col("text")).alias("item_tokens")), "item_id")
+    # passages grow with the corpus, so they meet the texts by a shuffle at every size
+    wanted = docs.join(passages.hint("shuffle_hash"), "doc_id").select(*passages.columns, tokens(F.col("text")).alias("doc_tokens")).join(items.select("item_id", tokens(F.col("text")).alias("item_tokens")), "item_id")
     word = lambda c, at: F.lower(F.regexp_replace(F.get(F.col(c), at), NAME, ""))
     item_at = lambda hit, k: hit["item_at"] + k
 

@@ -1,7 +1,6 @@
 """Line dedup: an exact set-similarity self-join of all lines, with prefix, positional and length filters.
 
-Only DataFrame functions. A line is what stands between line ends (\\n); its tokens are its distinct words in lower case
-(A-Z). Lines of fewer than MIN_TOKENS distinct words say too little to be called copies and always stay. Any other line
+Only DataFrame functions. A line is what stands between line ends (\\n); its tokens are its distinct words in lower case. Lines of fewer than MIN_TOKENS distinct words say too little to be called copies and always stay. Any other line
 is removed when a line before it (smaller document id, then smaller position) has Jaccard similarity 0.8 or more with it;
 this is judged on the input, so a removed line still removes later ones.
 
@@ -14,26 +13,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from routekit.llm.common import ascii_lower, documents, literal_array, query, words
+from routekit.llm.common import documents, literal_array, query, words
 from routekit.operators.core import checkpoint
 
 MIN_TOKENS, PERCENT = 5, 80
 COUNTERS = 1 << 16
 CLASS_SHIFT = 57
-LEADERS = 4
+LEADERS = 3
 SHARED = 2
 
 
 def line_words(line: Column) -> Column:
-    return words(ascii_lower(line))
+    return words(F.lower(line))
 
 
-def rarity_classes(lines: DataFrame) -> Column | None:
+def rarity_classes(docs: DataFrame) -> Column | None:
     """log2 of how often the words of each of COUNTERS hash counters occur in all lines, as a constant array.
 
     Any fixed order gives exact results; counters that several words share only make it less sharp. COUNTERS rows reach
     the driver whatever the input."""
-    rows = (lines.select(F.explode_outer(line_words(F.col("line"))).alias("w")).where("w IS NOT NULL").groupBy(F.pmod(F.xxhash64("w"), F.lit(COUNTERS)).cast("int").alias("at"))
+    rows = (docs.select(F.explode_outer(line_words(F.col("text"))).alias("w")).where("w IS NOT NULL").groupBy(F.pmod(F.xxhash64("w"), F.lit(COUNTERS)).cast("int").alias("at"))
             .agg(F.floor(F.log2(F.count("*").cast("double"))).cast("int").alias("class")).collect())
     if not rows:
         return None
@@ -73,26 +72,59 @@ def fits(n_u, pos_u, n_v, pos_v) -> Column:
     return (F.least(n_u, n_v) >= least_overlap(F.greatest(n_u, n_v))) & (possible >= needed)
 
 
+PAIR = ("u_doc_id", "u_at", "v_doc_id", "v_at")
+
+
+def lines_of(wanted: DataFrame, docs: DataFrame, classes: Column) -> DataFrame:
+    """(doc_id, at, tokens) of the lines in `wanted`; the documents are dealt by id just as for the final result, so that
+    one exchange of their texts serves every use."""
+    listed = wanted.groupBy("doc_id").agg(F.collect_set("at").alias("_ats"))
+    lines = docs.join(listed, "doc_id", "left").select("doc_id", F.explode_outer("_ats").alias("at"), F.split("text", "\n").alias("_lines")).where("at IS NOT NULL")
+    return lines.select(*LINE, ordered_tokens(F.get("_lines", F.col("at")), classes).alias("tokens"))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, classes: Column) -> DataFrame:
-    """The (u_doc_id, u_at, v_doc_id, v_at) rows of `pairs` whose token sets are similar; only their lines are read again."""
-    ends = pairs.select(*(F.col(f"u_{c}").alias(c) for c in LINE)).union(pairs.select(*(F.col(f"v_{c}").alias(c) for c in LINE)))
-    wanted = ends.groupBy("doc_id").agg(F.collect_set("at").alias("_ats"))
-    lines = wanted.join(docs, "doc_id").select("doc_id", F.explode("_ats").alias("at"), F.split("text", "\n").alias("_lines"))
-    sets = checkpoint(lines.select(*LINE, ordered_tokens(F.get("_lines", F.col("at")), classes).alias("tokens")))
+    """The rows of `pairs` (u_doc_id, u_at, v_doc_id, v_at) whose token sets are similar."""
+    ends = pairs.select(F.explode(F.array(*(F.struct(*(F.col(f"{s}_{c}").alias(c) for c in LINE)) for s in "uv"))).alias("e")).select("e.*")
+    sets = checkpoint(lines_of(ends, docs, classes))
     side = lambda s: sets.select(*(F.col(c).alias(f"{s}_{c}") for c in LINE), F.col("tokens").alias(f"{s}_tokens"))
     both = pairs.join(side("u"), ["u_doc_id", "u_at"]).join(side("v"), ["v_doc_id", "v_at"])
     common = F.size(F.array_intersect("u_tokens", "v_tokens"))
-    return both.where(100 * common >= PERCENT * (F.size("u_tokens") + F.size("v_tokens") - common)).select(*pairs.columns)
+    return both.where(100 * common >= PERCENT * (F.size("u_tokens") + F.size("v_tokens") - common)).select(*PAIR)
+
+
+def named(entries: DataFrame, s: str) -> DataFrame:
+    return entries.select("token", *(F.col(c).alias(f"{s}_{c}") for c in (*LINE, "n", "pos")))
+
+
+def leader_pairs(sets: DataFrame) -> DataFrame:
+    """Every set with the earliest holder of each pair of its LEADERS rarest tokens."""
+    rare = [F.get("prefix", F.lit(k)) for k in range(LEADERS)]
+    keys = F.array(*(F.xxhash64(a, b) for k, a in enumerate(rare) for b in rare[k + 1:]))
+    heads = sets.select(*LINE, "n", F.explode(keys).alias("key"))
+    first = heads.groupBy("key").agg(F.min(F.struct(*LINE, "n")).alias("u"), F.count("*").alias("holders")).where("holders > 1")
+    met = heads.select("key", "n", *(F.col(c).alias(f"v_{c}") for c in LINE)).join(first, "key")
+    earlier = F.struct("u.doc_id", "u.at") < F.struct(F.col("v_doc_id").alias("doc_id"), F.col("v_at").alias("at"))
+    near = F.least("n", "u.n") >= least_overlap(F.greatest("n", "u.n"))
+    return met.where(earlier & near).select(F.col("u.doc_id").alias("u_doc_id"), F.col("u.at").alias("u_at"), "v_doc_id", "v_at").distinct()
+
+
+def prefix_pairs(open_sets: DataFrame, sets: DataFrame) -> DataFrame:
+    """Earlier and later sets, the later one open, whose prefixes share SHARED tokens that pass the filters."""
+    met = named(prefix_entries(open_sets), "v").join(named(prefix_entries(sets), "u"), "token")
+    earlier = F.struct("u_doc_id", "u_at") < F.struct(F.col("v_doc_id").alias("u_doc_id"), F.col("v_at").alias("u_at"))
+    met = met.where(earlier & fits(*(F.col(f"{s}_{c}") for s in "uv" for c in ("n", "pos"))))
+    return met.groupBy(*PAIR).agg(F.count("*").alias("shared")).where(F.col("shared") >= SHARED).select(*PAIR)
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, at): the lines of `docs` (doc_id, text) that an earlier line removes.
 
-    Equal token sets are one set, standing at its first line. Every set first meets the earliest holder of each of its
-    LEADERS rarest tokens: that settles most members of a large group of near copies without pairing the group. Sets that
-    are not settled meet all others over prefix tokens; J >= 0.8 makes the prefixes, one token longer than needed for one
+    Equal token sets are one set, standing at its first line. Every set first meets the earliest holder of each pair of
+    its rarest tokens: that settles most members of a large group of near copies without pairing the group. Sets that are
+    not settled meet all others over prefix tokens; J >= 0.8 makes the prefixes, one token longer than needed for one
     common token, share two, and only such pairs are verified."""
-    classes = rarity_classes(numbered_lines(docs))
+    classes = rarity_classes(docs)
     if classes is None:
         return docs.select("doc_id", F.lit(0).alias("at")).where("false")
     tokens = numbered_lines(docs.where("doc_id IS NOT NULL")).select(*LINE, ordered_tokens(F.col("line"), classes).alias("tokens"))
@@ -102,29 +134,11 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     firsts = sized.groupBy("set", "n").agg(F.min(F.struct(*LINE)).alias("first"), F.count("*").alias("copies"), F.any_value("prefix").alias("prefix"))
     sets = checkpoint(firsts.select("first.*", "set", "n", "copies", "prefix"))
     several = sets.where("copies > 1").select("set", "n", F.struct(*LINE).alias("first"))
-    copies = sized.select(*LINE, "set", "n").join(several, ["set", "n"]).where(F.struct(*LINE) > F.col("first")).select(*LINE)
-
-    def named(entries, s):
-        return entries.select("token", *(F.col(c).alias(f"{s}_{c}") for c in (*LINE, "n", "pos")))
-
-    pair = ["u_doc_id", "u_at", "v_doc_id", "v_at"]
-    earlier = F.struct(*pair[:2]) < F.struct(*(F.col(c).alias(c.replace("v_", "u_")) for c in pair[2:]))
-    short = F.slice("prefix", 1, LEADERS)
-    heads = prefix_entries(sets.select(*LINE, "n", short.alias("prefix")))
-    leaders = heads.groupBy("token").agg(F.min(F.struct(*LINE, "n", "pos")).alias("u"), F.count("*").alias("holders")).where("holders > 1")
-    leaders = leaders.select("token", *(F.col(f"u.{c}").alias(f"u_{c}") for c in (*LINE, "n", "pos")))
-    fit = fits(*(F.col(f"{s}_{c}") for s in "uv" for c in ("n", "pos")))
-    led = checkpoint(leaders.join(named(heads, "v"), "token").where(earlier & fit).select(*pair).distinct())
-    settled = checkpoint(verified(led, docs, classes).select(F.col("v_doc_id").alias("doc_id"), F.col("v_at").alias("at")).distinct())
-
-    open_sets = sets.join(settled, list(LINE), "left_anti")
-    met = named(prefix_entries(open_sets), "a").join(named(prefix_entries(sets), "b"), "token")
-    met = met.where(~((F.col("a_doc_id") == F.col("b_doc_id")) & (F.col("a_at") == F.col("b_at")))).where(fits(*(F.col(f"{s}_{c}") for s in "ab" for c in ("n", "pos"))))
-    open_is_later = F.struct(F.col("b_doc_id").alias("x"), F.col("b_at").alias("y")) < F.struct(F.col("a_doc_id").alias("x"), F.col("a_at").alias("y"))
-    found = met.where(open_is_later).groupBy(F.col("b_doc_id").alias("u_doc_id"), F.col("b_at").alias("u_at"), F.col("a_doc_id").alias("v_doc_id"), F.col("a_at").alias("v_at")).agg(F.count("*").alias("shared"))
-    rest = verified(checkpoint(found.where(F.col("shared") >= SHARED).select(*pair)), docs, classes)
-    similar = settled.unionByName(rest.select(F.col("v_doc_id").alias("doc_id"), F.col("v_at").alias("at")))
-    return checkpoint(copies.unionByName(similar)).distinct()
+    copies = checkpoint(sized.select(*LINE, "set", "n").join(several, ["set", "n"]).where(F.struct(*LINE) > F.col("first")).select(*LINE))
+    later = lambda pairs: pairs.select(F.col("v_doc_id").alias("doc_id"), F.col("v_at").alias("at")).distinct()
+    settled = checkpoint(later(verified(checkpoint(leader_pairs(sets)), docs, classes)))
+    rest = later(verified(checkpoint(prefix_pairs(sets.join(settled, list(LINE), "left_anti"), sets)), docs, classes))
+    return checkpoint(copies.unionByName(settled).unionByName(rest).distinct())
 
 
 def line_dedup(docs: DataFrame, text: str = "text") -> DataFrame:
