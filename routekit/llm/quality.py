@@ -101,7 +101,8 @@ def ratio_scores(docs: DataFrame, ratios: Column | None) -> DataFrame:
 
 
 def threshold(scores: DataFrame, labels: DataFrame) -> float:
-    """The ratio that splits labelled documents best (share of good kept + share of bad rejected); the lowest of equals.
+    """The ratio that splits labelled documents best (share of good kept + share of bad rejected), the lowest of
+    equals, in the middle of the gap around it.
 
     Labelled scores meet in bins of 0.01, so a bounded number of rows is compared whatever the input."""
     binned = scores.join(trusted_ids(labels), "doc_id").groupBy(F.floor(F.col("ratio") * 100).cast("int").alias("bin")).agg(
@@ -110,11 +111,11 @@ def threshold(scores: DataFrame, labels: DataFrame) -> float:
     good, bad = sum(r[1] for r in rows), sum(r[2] for r in rows)
     if not good or not bad:
         return -math.inf
-    best, at, kept, out = 1.0, -math.inf, good, 0
+    best, at, kept, out, last = 1.0, -math.inf, good, 0, None
     for bin_, g, b in rows:
-        if kept / good + out / bad > best:
-            best, at = kept / good + out / bad, bin_ / 100
-        kept, out = kept - g, out + b
+        if last is not None and kept / good + out / bad > best:
+            best, at = kept / good + out / bad, (bin_ + last + 1) / 200
+        kept, out, last = kept - g, out + b, bin_
     return at
 
 
