@@ -13,6 +13,7 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from routekit.llm.common import documents, query
 
 MARK = "▁"
-CACHE, BATCH_BYTES, LONG = 150_000, 2 << 20, 48
+CACHE, BATCH_BYTES, LONG = 250_000, 2 << 20, 48
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)  # fixed values: piece types of the model format
 
 
@@ -117,7 +118,8 @@ class PieceModel:
         # where no piece can reach over a word start or a line end, the parts between them are encoded on their own
         self.split = None if whole else re.compile(f"[ {MARK}]+[^ {MARK}{alone}]*|[^ {MARK}{alone}]+" + (f"|{alone}" if alone else ""))
         self.plain = not self.map.units and not self.squeeze and self.escape
-        self.cache: dict = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def normalise(self, text: str) -> tuple[str, list[int]]:
         """The normalised text, and the source byte at which each of its characters starts, then the end."""
@@ -163,8 +165,8 @@ class PieceModel:
         rank, parts = self.rank, list(word)
         if len(parts) > LONG:
             return self.merge_long(parts)
-        none = len(rank)
-        ranks = [rank.get(a + b, none) for a, b in zip(parts, parts[1:])]
+        none, rank_of = len(rank), rank.get
+        ranks = [rank_of(a + b, none) for a, b in zip(parts, parts[1:])]
         while ranks:
             best = min(ranks)
             if best == none:
@@ -173,9 +175,9 @@ class PieceModel:
             parts[k:k + 2] = [parts[k] + parts[k + 1]]
             del ranks[k]
             if k < len(ranks):
-                ranks[k] = rank.get(parts[k] + parts[k + 1], none)
+                ranks[k] = rank_of(parts[k] + parts[k + 1], none)
             if k:
-                ranks[k - 1] = rank.get(parts[k - 1] + parts[k], none)
+                ranks[k - 1] = rank_of(parts[k - 1] + parts[k], none)
         return parts
 
     def merge_long(self, parts: list[str]) -> list[str]:
@@ -218,17 +220,40 @@ class PieceModel:
                 sizes.append(len(part))
         return ids, sizes
 
-    def plain_word(self, word: str, first: bool) -> tuple[bytes, bytes]:
-        """ids and source byte lengths (as int32 bytes) of a part of a text that no character map changes."""
-        shown = word.replace(" ", MARK)
-        lead = first and self.dummy
-        ids, sizes = self.encode_word(MARK + shown if lead else shown)
-        chars = ([0] if lead else []) + [len(c.encode()) for c in word]
-        at, widths = 0, []
-        for size in sizes:
-            widths.append(sum(chars[at:at + size]))
-            at += size
-        return np.array(ids, np.int32).tobytes(), np.array(widths, np.int32).tobytes()
+    def plain_word(self, word: str, first: bool) -> bytes:
+        """(id, source byte length) pairs, as int32 bytes, of a part of a text that no character map changes."""
+        shown, lead, pairs = word.replace(" ", MARK), first and self.dummy, []
+        if lead or MARK in word:
+            ids, sizes = self.encode_word(MARK + shown if lead else shown)
+            chars = ([0] if lead else []) + [len(c.encode()) for c in word]
+            at = 0
+            for k, size in zip(ids, sizes):
+                pairs += k, sum(chars[at:at + size])
+                at += size
+            return array("i", pairs).tobytes()
+        known, plain = self.ids.get, word.isascii()
+        for part in self.merge(shown):
+            k = known(part)
+            if k is None:
+                spelled = part.encode()
+                for byte in spelled[:-1]:
+                    pairs += self.bytes[byte], 0
+                pairs += self.bytes[spelled[-1]], len(spelled)
+            else:  # a mark stands for a space, one byte of the source
+                pairs += k, len(part) if plain else len(part.encode()) - 2 * part.count(MARK)
+        return array("i", pairs).tobytes()
+
+    def remembered(self, word: str) -> bytes:
+        """plain_word with a cache of two generations: words in use move to the young one, the old one is dropped whole."""
+        row = self.old.get(word)
+        if row is None:
+            row = self.plain_word(word, False)
+            if len(word) > LONG:
+                return row
+        if len(self.young) >= CACHE:
+            self.old, self.young = self.young, {}
+        self.young[word] = row
+        return row
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, begins, ends): the pieces and their spans of source bytes."""
@@ -236,19 +261,12 @@ class PieceModel:
             found = self.split.findall(text)
             if not found:
                 return (np.zeros(0, np.int32),) * 3
-            cache, rows = self.cache, [self.plain_word(found[0], True)]
+            rows = [self.plain_word(found[0], True)]
             for word in found[1:]:
-                row = cache.get(word)
-                if row is None:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    row = self.plain_word(word, False)
-                    if len(word) <= LONG:
-                        cache[word] = row
-                rows.append(row)
-            ids = np.frombuffer(b"".join([r[0] for r in rows]), np.int32)
-            ends = np.cumsum(np.frombuffer(b"".join([r[1] for r in rows]), np.int32), dtype=np.int32)
-            return ids, np.concatenate([[0], ends[:-1]]).astype(np.int32), ends
+                rows.append(self.young.get(word) or self.remembered(word))
+            pairs = np.frombuffer(b"".join(rows), np.int32).reshape(-1, 2)
+            ends = np.cumsum(pairs[:, 1], dtype=np.int32)
+            return pairs[:, 0], np.concatenate([[0], ends[:-1]]).astype(np.int32), ends
         shown, align = self.normalise(text)
         ids, sizes = self.encode_word(shown)
         bounds = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int64)
