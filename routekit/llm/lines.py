@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from routekit.llm.common import documents, literal_array, query, words
-from routekit.operators.core import checkpoint
+from routekit.operators.core import checkpoint, release
 
 MIN_TOKENS, PERCENT = 5, 80
 COUNTERS = 1 << 16
@@ -61,8 +61,8 @@ def numbered_lines(docs: DataFrame) -> DataFrame:
 LINE = ("doc_id", "at")
 
 
-def prefix_entries(sets: DataFrame, tokens: str = "prefix") -> DataFrame:
-    return sets.select(*LINE, "n", F.posexplode(tokens).alias("pos", "token"))
+def prefix_entries(sets: DataFrame, tokens: str, *more: str) -> DataFrame:
+    return sets.select(*LINE, "n", *more, F.posexplode(tokens).alias("pos", "token"))
 
 
 def fits(n_u, pos_u, n_v, pos_v) -> Column:
@@ -94,7 +94,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: Column) -> DataFrame:
 
 
 def named(entries: DataFrame, s: str) -> DataFrame:
-    return entries.select("token", *(F.col(c).alias(f"{s}_{c}") for c in (*LINE, "n", "pos")))
+    return entries.select("token", *(F.col(c).alias(f"{s}_{c}") for c in (*LINE, "n", "pos")), *(c for c in entries.columns if c == "settled"))
 
 
 def leader_pairs(sets: DataFrame) -> DataFrame:
@@ -109,12 +109,22 @@ def leader_pairs(sets: DataFrame) -> DataFrame:
     return met.where(earlier & near).select(F.col("u.doc_id").alias("u_doc_id"), F.col("u.at").alias("u_at"), "v_doc_id", "v_at").distinct()
 
 
-def prefix_pairs(open_sets: DataFrame, sets: DataFrame) -> DataFrame:
-    """Earlier and later sets, the later one open, whose prefixes share SHARED tokens that pass the filters."""
-    met = named(prefix_entries(open_sets), "v").join(named(prefix_entries(sets), "u"), "token")
-    earlier = F.struct("u_doc_id", "u_at") < F.struct(F.col("v_doc_id").alias("u_doc_id"), F.col("v_at").alias("u_at"))
-    met = met.where(earlier & fits(*(F.col(f"{s}_{c}") for s in "uv" for c in ("n", "pos"))))
-    return met.groupBy(*PAIR).agg(F.count("*").alias("shared")).where(F.col("shared") >= SHARED).select(*PAIR)
+def prefix_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs of earlier and later sets, the later one not `settled`, whose prefixes share SHARED tokens that pass the filters.
+
+    The shorter set of a pair (the earlier of equals) stands in the index with a shorter prefix: with any set as large or
+    larger it has 8/9 of its tokens in common. Two settled sets never meet, so a large settled group is not paired."""
+    n, pos = F.col("n"), F.col("pos")
+    probe, index = sets, sets.withColumn("prefix", F.slice("prefix", 1, n - F.floor((8 * n + 8) / 9).cast("int") + SHARED))
+    flag = lambda df, s: named(prefix_entries(df, "prefix", "settled"), s).withColumnRenamed("settled", f"{s}_settled")
+    shorter = F.struct("i_n", "i_doc_id", "i_at") < F.struct(*(F.col(f"p_{c}").alias(f"i_{c}") for c in ("n", *LINE)))
+    first = F.struct("i_doc_id", "i_at") < F.struct(*(F.col(f"p_{c}").alias(f"i_{c}") for c in LINE))
+    use = F.when(first, ~F.col("p_settled")).otherwise(~F.col("i_settled"))
+    fit = fits(*(F.col(f"{s}_{c}") for s in "ip" for c in ("n", "pos")))
+    met = [flag(probe.where(a), "p").join(flag(index.where(b), "i"), "token").where(shorter & use & fit) for a, b in (("NOT settled", "true"), ("settled", "NOT settled"))]
+    end = lambda c: (F.when(first, F.col(f"i_{c}")).otherwise(F.col(f"p_{c}")).alias(f"u_{c}"), F.when(first, F.col(f"p_{c}")).otherwise(F.col(f"i_{c}")).alias(f"v_{c}"))
+    pairs = met[0].unionByName(met[1]).select(*end("doc_id"), *end("at"))
+    return pairs.groupBy(*PAIR).agg(F.count("*").alias("shared")).where(F.col("shared") >= SHARED).select(*PAIR)
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -130,15 +140,19 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     tokens = numbered_lines(docs.where("doc_id IS NOT NULL")).select(*LINE, ordered_tokens(F.col("line"), classes).alias("tokens"))
     n = F.size("tokens")
     prefix = F.when(n >= MIN_TOKENS, F.slice("tokens", 1, n - least_overlap(n) + SHARED))
-    sized = checkpoint(tokens.select(*LINE, n.alias("n"), F.xxhash64("tokens").alias("set"), prefix.alias("prefix"))).where(F.col("n") >= MIN_TOKENS)
+    written = checkpoint(tokens.select(*LINE, n.alias("n"), F.xxhash64("tokens").alias("set"), prefix.alias("prefix")))
+    sized = written.where(F.col("n") >= MIN_TOKENS)
     firsts = sized.groupBy("set", "n").agg(F.min(F.struct(*LINE)).alias("first"), F.count("*").alias("copies"), F.any_value("prefix").alias("prefix"))
     sets = checkpoint(firsts.select("first.*", "set", "n", "copies", "prefix"))
     several = sets.where("copies > 1").select("set", "n", F.struct(*LINE).alias("first"))
     copies = checkpoint(sized.select(*LINE, "set", "n").join(several, ["set", "n"]).where(F.struct(*LINE) > F.col("first")).select(*LINE))
+    release(written)
     later = lambda pairs: pairs.select(F.col("v_doc_id").alias("doc_id"), F.col("v_at").alias("at")).distinct()
     settled = checkpoint(later(verified(checkpoint(leader_pairs(sets)), docs, classes)))
-    rest = later(verified(checkpoint(prefix_pairs(sets.join(settled, list(LINE), "left_anti"), sets)), docs, classes))
-    return checkpoint(copies.unionByName(settled).unionByName(rest).distinct())
+    flagged = sets.select(*LINE, "n", "prefix").join(settled.withColumn("settled", F.lit(True)), list(LINE), "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
+    pairs = checkpoint(prefix_pairs(flagged))
+    release(sets)
+    return checkpoint(copies.unionByName(settled).unionByName(later(verified(pairs, docs, classes))).distinct())
 
 
 def line_dedup(docs: DataFrame, text: str = "text") -> DataFrame:
