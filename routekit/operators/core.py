@@ -210,6 +210,14 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius, by=(), dims: int = 2
     return pairs.withColumn("d", F.sqrt(square)).where(F.col("d") <= radius).drop(*names)
 
 
+def real(*names: str) -> Column:
+    """True where every named coordinate is a finite number; null, NaN and infinite places can be near nothing."""
+    out = F.lit(True)
+    for name in names:
+        out = out & F.coalesce(F.abs(F.col(name)) < F.lit(float("inf")), F.lit(False))
+    return out
+
+
 def nearest(left: DataFrame, right: DataFrame, by=(), *, start: float, limit: float | None = None, growth: int = 4,
             payload=(), dims: int = 2, slack: float = 0.0, refine=None) -> DataFrame:
     """Exact nearest right row for each left row (ties: smallest rid): by..., lid, d, rid, payload...
@@ -217,15 +225,16 @@ def nearest(left: DataFrame, right: DataFrame, by=(), *, start: float, limit: fl
     Rings widen by `growth` from `start`: a left row with a hit inside the ring is final, the others go on to the next
     ring. With a `limit` the last ring is the limit itself, and rows without a hit are left out; without one, rings go
     on until every left row whose group has a target is served. Dense places are settled in small cells, so no group
-    is ever paired whole. Extended targets (segment pieces) give `refine`, which adds the true d and payload to
+    is ever paired whole. Rows without a finite place on either side are left out. Extended targets (segment pieces) give `refine`, which adds the true d and payload to
     candidate rows, and the `slack` by which a target may reach nearer than its reference point.
     """
     by = list(by)
     refine = refine or (lambda pairs: pairs)
-    targets = right
-    todo = left.select(*by, "lid", *["lx", "ly", "lz"][:dims])
-    if by and limit is None:
-        todo = todo.join(right.select(*by).distinct(), by, "left_semi")
+    lc, rc = ["lx", "ly", "lz"][:dims], ["rx", "ry", "rz"][:dims]
+    targets = right.where(real(*rc))
+    todo = left.select(*by, "lid", *lc).where(real(*lc))
+    if limit is None:
+        todo = todo.join(targets.select(*by).distinct(), by, "left_semi") if by else todo.where(F.lit(not targets.isEmpty()))
     done, radius = [], float(start)
     while True:
         last_ring = limit is not None and radius >= limit
@@ -248,13 +257,17 @@ def nearest(left: DataFrame, right: DataFrame, by=(), *, start: float, limit: fl
 def knn(left: DataFrame, right: DataFrame, k: int, by=(), *, start: float, growth: int = 4) -> DataFrame:
     """Exact k nearest right rows of each left row, ties by rid: by..., lid, rid, d, rank (1-based).
 
-    Rings as in nearest: a left row is final once its ring holds k targets, or all targets of its group.
+    Rings as in nearest: a left row is final once its ring holds k targets, or all targets of its group. Rows without a
+    finite place on either side are left out.
     """
     by = list(by)
-    targets = right.select(*by, "rid", "rx", "ry")
-    sizes = targets.groupBy(*by).agg(F.least(F.count("*"), F.lit(k)).alias("_need")) if by else None
-    todo = left.select(*by, "lid", "lx", "ly")
-    todo = todo.join(sizes, by) if by else todo.withColumn("_need", F.lit(k))
+    targets = right.select(*by, "rid", "rx", "ry").where(real("rx", "ry"))
+    todo = left.select(*by, "lid", "lx", "ly").where(real("lx", "ly"))
+    if by:
+        todo = todo.join(targets.groupBy(*by).agg(F.least(F.count("*"), F.lit(k)).alias("_need")), by)
+    else:
+        found = targets.count()
+        todo = todo.withColumn("_need", F.lit(min(k, found))).where(F.lit(found > 0))
     done, radius = [], float(start)
     order = Window.partitionBy(*by, "lid").orderBy("d", "rid")
     while True:
@@ -298,9 +311,9 @@ def greedy_pairs(candidates: DataFrame, by=(), left_rank=("cost", "lid", "rid"),
 
 
 def _densest_cell(left: DataFrame, right: DataFrame, radius: float, by) -> int:
-    """Largest left×right population of one grid cell: the one number that picks the plan."""
-    count = lambda df, c, n: cells(df, c, radius).groupBy(*by, "_c0", "_c1").agg(F.count("*").alias(n))
-    met = count(left, ["lx", "ly"], "_nl").join(count(right, ["rx", "ry"], "_nr"), [*by, "_c0", "_c1"])
+    """Largest number of pairs that one grid cell of lefts forms with the rights in and around it."""
+    count = lambda df, c, n, halo: cells(df, c, radius, halo=halo).groupBy(*by, "_c0", "_c1").agg(F.count("*").alias(n))
+    met = count(left, ["lx", "ly"], "_nl", False).join(count(right, ["rx", "ry"], "_nr", True), [*by, "_c0", "_c1"])
     return met.agg(F.max(F.col("_nl") * F.col("_nr"))).first()[0] or 0
 
 
@@ -318,20 +331,19 @@ def _match_piles(left: DataFrame, right: DataFrame, by) -> DataFrame:
 def assign_1to1(left: DataFrame, right: DataFrame, by=(), *, max_d: float, dense: int = 100_000) -> DataFrame:
     """Greedy one-to-one nearest assignment within max_d: by..., lid, rid, d.
 
-    Equal to taking all pairs in ascending (d, lid, rid). Where a cell is dense the radius grows in bands: pairs of a
-    smaller band always come before those of a larger one, so finishing a band first keeps the greedy order while the
-    crowded spots empty out before wider cells are paired. Ids are numeric.
+    Equal to taking all pairs in ascending (d, lid, rid). Points on one spot pair up by rank first, at distance zero. The
+    rest goes through bands of growing radius: pairs of a smaller band always come before those of a larger one, so
+    finishing a band first keeps the greedy order while crowded spots empty out before wider cells are paired. Bands are
+    added below max_d until no cell forms more than `dense` pairs. Ids are numeric; rows without a finite place get none.
     """
     by = list(by)
-    left, right = left.select(*by, "lid", "lx", "ly"), right.select(*by, "rid", "rx", "ry")
-    bands, parts = [float(max_d)], []
-    if _densest_cell(left, right, max_d, by) > dense:
-        piles = checkpoint(_match_piles(left, right, by))
-        parts.append(piles)
-        left = checkpoint(left.join(piles.select(*by, "lid"), [*by, "lid"], "left_anti"))
-        right = checkpoint(right.join(piles.select(*by, "rid"), [*by, "rid"], "left_anti"))
-        while len(bands) < 8 and _densest_cell(left, right, bands[0], by) > dense:
-            bands.insert(0, bands[0] / 4)
+    left, right = left.select(*by, "lid", "lx", "ly").where(real("lx", "ly")), right.select(*by, "rid", "rx", "ry").where(real("rx", "ry"))
+    piles = checkpoint(_match_piles(left, right, by))
+    bands, parts = [float(max_d)], [piles]
+    left = checkpoint(left.join(piles.select(*by, "lid"), [*by, "lid"], "left_anti"))
+    right = checkpoint(right.join(piles.select(*by, "rid"), [*by, "rid"], "left_anti"))
+    while bands[0] > 1e-9 * max_d and _densest_cell(left, right, bands[0], by) > dense:
+        bands.insert(0, bands[0] / 4)
     for i, radius in enumerate(bands):
         pairs = radius_pairs(left, right, radius, by).select(*by, "lid", "rid", F.col("d").alias("cost"))
         won = greedy_pairs(pairs, by).select(*by, "lid", "rid", F.col("cost").alias("d"))
@@ -374,11 +386,9 @@ def chunked_fold(df: DataFrame, by, order, *, fields, zero: Column, step, emit,
         start = F.struct(state.cast(kind).alias("s"), F.array().cast(f"array<{item}>").alias("o"))
         return part.withColumn("_f", F.aggregate("_rows", start, advance))
 
-    if spread <= 1:
-        return run(grouped, zero).select(*by, F.explode("_f.o").alias("_e")).select(*by, "_e.*")
     placed = checkpoint(grouped.withColumn("_pos", position))
     carried, outputs = None, []
-    for at in range(1, spread + 1):
+    for at in range(1, max(1, spread) + 1):
         part = placed.where(F.col("_pos") == at)
         if carried is None:
             part = run(part, zero)

@@ -162,7 +162,9 @@ def lift_topology(poles: DataFrame, region_poles: DataFrame, adj: DataFrame, max
 
 
 def prune_candidates(predicted: DataFrame, region_poles: DataFrame, window: float, k: int = MAX_CANDIDATES) -> DataFrame:
-    """Base poles in the box round each prediction (wider with hops), the k nearest: route_id, number, idx, d, rank.
+    """Base poles in the box round each prediction (wider with hops), the k nearest: route_id, number, idx, d, rank, unpruned.
+
+    unpruned counts all poles in the box, so that a reader sees where the k nearest are not all of them.
 
     predicted: route_id, region_id, number, e, n, hops. Rows are classed by box size (powers of two), and each class
     meets the base in cells of its own size.
@@ -178,7 +180,8 @@ def prune_candidates(predicted: DataFrame, region_poles: DataFrame, window: floa
     met = asked.join(filed.drop("_o"), ["region_id", "_class", "_cx", "_cy"])
     met = met.where((F.abs(F.col("_x") - F.col("e")) <= F.col("_w")) & (F.abs(F.col("_y") - F.col("n")) <= F.col("_w"))).withColumn("d", dist2d("e", "n", "_x", "_y"))
     order = Window.partitionBy("route_id", "number").orderBy("d", "idx")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("route_id", "number", "idx", "d", "rank")
+    met = met.withColumns({"rank": F.row_number().over(order), "unpruned": F.count("*").over(Window.partitionBy("route_id", "number"))})
+    return met.where(F.col("rank") <= k).select("route_id", "number", "idx", "d", "rank", "unpruned")
 
 
 def best_neighbour_by_span(frontier: DataFrame, adj: DataFrame, claimed: DataFrame, tol: float) -> DataFrame:

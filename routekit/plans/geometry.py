@@ -30,7 +30,7 @@ def hits_sql(points: str, name: str = "hit", far: str = "") -> str:
     return f"""{name}0 AS (SELECT p.route_id, p.page, p.point_id, p.x AS px, p.y AS py, s.*  EXCLUDE (route_id, page),
    greatest(0, least(1, ((p.x - ax) * (bx - ax) + (p.y - ay) * (by_ - ay)) / (len * len))) AS f FROM ({points}) p JOIN sg s ON s.route_id = p.route_id AND s.page = p.page),
  {name}1 AS (SELECT *, sqrt(pow(px - ax - f * (bx - ax), 2) + pow(py - ay - f * (by_ - ay), 2)) AS d FROM {name}0),
- {name} AS (SELECT route_id, page, point_id, d, path_id, ax + f * (bx - ax) AS x, ay + f * (by_ - ay) AS y, cum0 + f * len AS t FROM
+ {name} AS MATERIALIZED (SELECT route_id, page, point_id, d, path_id, ax + f * (bx - ax) AS x, ay + f * (by_ - ay) AS y, cum0 + f * len AS t FROM
    (SELECT *, row_number() OVER (PARTITION BY route_id, page, point_id ORDER BY d, path_id, seq) AS rk FROM {name}1) WHERE rk = 1)"""
 
 

@@ -169,11 +169,11 @@ def _(v):
     return mt.lift_topology(regioned(v), v.base, base_adj(v))
 
 
-@query("j13_prune_candidates", f"""WITH {TR}, c AS (SELECT tr.route_id, tr.number, b.idx, sqrt(pow(tr.e - b.x, 2) + pow(tr.n - b.y, 2)) AS d, row_number() OVER (PARTITION BY tr.route_id, tr.number ORDER BY sqrt(pow(tr.e - b.x, 2) + pow(tr.n - b.y, 2)), b.idx) AS rank
- FROM tr JOIN v_base b ON b.region_id = tr.region_id AND abs(b.x - tr.e) <= 20 * (1 + 0.25e0 * (number % 7)) AND abs(b.y - tr.n) <= 20 * (1 + 0.25e0 * (number % 7))) SELECT route_id, number, idx, round(d, 6) AS d, rank FROM c WHERE rank <= 3""")
+@query("j13_prune_candidates", f"""WITH {TR}, c AS (SELECT tr.route_id, tr.number, b.idx, sqrt(pow(tr.e - b.x, 2) + pow(tr.n - b.y, 2)) AS d, row_number() OVER (PARTITION BY tr.route_id, tr.number ORDER BY sqrt(pow(tr.e - b.x, 2) + pow(tr.n - b.y, 2)), b.idx) AS rank, count(*) OVER (PARTITION BY tr.route_id, tr.number) AS unpruned
+ FROM tr JOIN v_base b ON b.region_id = tr.region_id AND abs(b.x - tr.e) <= 20 * (1 + 0.25e0 * (number % 7)) AND abs(b.y - tr.n) <= 20 * (1 + 0.25e0 * (number % 7))) SELECT route_id, number, idx, round(d, 6) AS d, rank, unpruned FROM c WHERE rank <= 30""")
 def _(v):
     predicted = regioned(v).withColumn("hops", F.col("number") % 7)
-    return rounded(mt.prune_candidates(predicted, v.base, 20.0, 3), "d")
+    return rounded(mt.prune_candidates(predicted, v.base, 20.0), "d")
 
 
 @query("j14_best_neighbour", f"""WITH {TR}, {ADJ}, c AS (SELECT s.route_id, s.lo AS number, ad.v, abs(ad.w - s.meters) AS delta, row_number() OVER (PARTITION BY s.route_id, s.lo ORDER BY abs(ad.w - s.meters), ad.v) AS k FROM v_spans s JOIN tr ON tr.route_id = s.route_id AND tr.number = s.lo JOIN ad ON ad.region_id = tr.region_id AND ad.u = tr.row_id

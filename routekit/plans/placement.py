@@ -228,10 +228,16 @@ def _(v):
     return out.pole_placemarks(placed(v), tiers(v))
 
 
+def map_lines(v):
+    """The drawn lines of each document: redundant edges go, then edges with an end that has no position, then chains form."""
+    conns = gr.drop_transitive(drawn_conns(v))
+    seen = conns.join(out.skipped_edges(conns, placed(v)), ["route_id", "src", "dst"], "left_anti")
+    return out.line_placemarks(gr.route_polylines(seen), placed(v)).withColumn("part", F.col("part").cast("long"))
+
+
 @query("x2_line_placemarks")
 def _(v):
-    conns = gr.drop_transitive(drawn_conns(v))
-    return out.line_placemarks(gr.route_polylines(conns), placed(v)).withColumn("part", F.col("part").cast("long"))
+    return map_lines(v)
 
 
 @query("x3_unresolved", "SELECT route_id, number, concat('poste ', CASE WHEN number < 10 THEN '0' ELSE '' END, number, ' sem coordenada (não resolvido)') AS text FROM v_tracks WHERE source = 'click'")
@@ -256,8 +262,7 @@ def _(v):
 
 @query("s10_write_kml")
 def _(v):
-    lines = gr.route_polylines(drawn_conns(v).where("NOT gap"))
-    text = out.kml_lines(out.style_blocks(documents(v)), out.pole_placemarks(placed(v), tiers(v)), out.line_placemarks(lines, placed(v)))
+    text = out.kml_lines(out.style_blocks(documents(v)), out.pole_placemarks(placed(v), tiers(v)), map_lines(v))
     path = scratch(v, "kml")
     files.write_kml(text, path)
     return v.spark.read.schema("value string, route_id bigint").text(path).groupBy("route_id").agg(F.count("*").alias("n_lines"))
