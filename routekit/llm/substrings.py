@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routekit.llm.common import documents, query
-from routekit.operators.core import checkpoint
+from routekit.operators.core import checkpoint, release
 
 SPAN, GRAM, CROWD = 35, 8, 64
 SHARD_PASSAGES = 1500
@@ -195,9 +195,10 @@ def passage_words(wanted: DataFrame, docs: DataFrame) -> DataFrame:
 
 def removed_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, begin, end): word positions that repeat elsewhere, ends excluded; spans may overlap."""
-    found = all_passages(docs)
+    found = checkpoint(all_passages(docs))  # read twice below
     anchors = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("passage").alias("low"), F.max("passage").alias("high")).where("n > 1")
     shared = checkpoint(found.join(anchors.select("anchor", (F.col("low") == F.col("high")).alias("alike")), "anchor"))
+    release(found)
     span = lambda df: df.select("doc_id", F.col("first").alias("begin"), (F.col("first") + F.col("windows") + (SPAN - 1)).alias("end"))
     kinds = checkpoint(shared.where("NOT alike").groupBy("anchor", "passage", "windows").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "first")).alias("at")))
     twice = span(shared.where("NOT alike").join(kinds.where("copies > 1").select("anchor", "passage", "windows"), ["anchor", "passage", "windows"], "left_semi"))
