@@ -65,9 +65,13 @@ def _(v):
     return rounded(gr.cluster_points(points, 52.0), "x", "y")
 
 
-@query("g1_cable_graph", """WITH en AS (SELECT region_id, poly, edge_id, 0 AS side, ax AS x, ay AS y FROM v_base_edges UNION ALL SELECT region_id, poly, edge_id, 1, bx, "by" FROM v_base_edges),
+GLUED = """en AS (SELECT region_id, poly, edge_id, 0 AS side, ax AS x, ay AS y FROM v_base_edges UNION ALL SELECT region_id, poly, edge_id, 1, bx, "by" FROM v_base_edges),
  sp AS (SELECT region_id, x, y, min(edge_id * 2 + side) AS pid FROM en GROUP BY ALL), gl AS (SELECT region_id, list_reduce(list([{'i': pid, 'x': x, 'y': y}] ORDER BY pid), lambda acc, q: CASE WHEN len(list_filter(acc, lambda p: sqrt(pow(p.x - q[1].x, 2) + pow(p.y - q[1].y, 2)) < 0.05e0)) > 0 THEN acc ELSE list_concat(acc, q) END) AS ps FROM sp GROUP BY 1),
- kp AS (SELECT region_id, u.i AS node, u.x AS x, u.y AS y FROM (SELECT region_id, unnest(ps) AS u FROM gl)), hm AS (SELECT sp.region_id, sp.x, sp.y, arg_min(kp.node, [sqrt(pow(kp.x - sp.x, 2) + pow(kp.y - sp.y, 2)), kp.node]) AS node FROM sp JOIN kp ON kp.region_id = sp.region_id AND sqrt(pow(kp.x - sp.x, 2) + pow(kp.y - sp.y, 2)) <= 0.05e0 GROUP BY ALL),
+ kp AS (SELECT region_id, u.i AS node, u.x AS x, u.y AS y FROM (SELECT region_id, unnest(ps) AS u FROM gl))"""
+
+
+@query("g1_cable_graph", f"""WITH {GLUED},
+ hm AS (SELECT sp.region_id, sp.x, sp.y, arg_min(kp.node, [sqrt(pow(kp.x - sp.x, 2) + pow(kp.y - sp.y, 2)), kp.node]) AS node FROM sp JOIN kp ON kp.region_id = sp.region_id AND sqrt(pow(kp.x - sp.x, 2) + pow(kp.y - sp.y, 2)) <= 0.05e0 GROUP BY ALL),
  pl AS (SELECT en.region_id, poly, edge_id, side, node FROM en JOIN hm USING (region_id, x, y)), ss AS (SELECT a.region_id, a.node AS u, b.node AS v FROM pl a JOIN pl b ON b.region_id = a.region_id AND b.edge_id = a.edge_id AND a.side = 0 AND b.side = 1),
  tp AS (SELECT DISTINCT region_id, node FROM (SELECT region_id, poly, node FROM pl GROUP BY ALL HAVING count(*) = 1)), fu AS (SELECT a.region_id, a.node AS u, b.node AS v FROM tp x JOIN kp a ON a.region_id = x.region_id AND a.node = x.node JOIN tp y ON y.region_id = x.region_id JOIN kp b ON b.region_id = y.region_id AND b.node = y.node WHERE a.node < b.node AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 0.3e0),
  al AS (SELECT * FROM ss UNION ALL SELECT * FROM fu) SELECT DISTINCT region_id, u, v FROM (SELECT * FROM al UNION ALL SELECT region_id, v, u FROM al) WHERE u <> v""")
@@ -78,11 +82,11 @@ def _(v):
 
 def owned(v):
     nodes, edges = gr.cable_graph(v.base_edges)
-    poles = v.base.where("block <> 'view'").select("region_id", F.col("idx").alias("number"), "x", "y")
+    poles = v.base.select("region_id", F.col("idx").alias("number"), "x", "y")
     return nodes, edges, gr.own_vertices(nodes, poles)
 
 
-@query("g2_own_vertices")
+@query("g2_own_vertices", f"""WITH {GLUED} SELECT kp.region_id, kp.node, arg_min(b.idx, [sqrt(pow(b.x - kp.x, 2) + pow(b.y - kp.y, 2)), b.idx]) AS owner FROM kp JOIN v_base b ON b.region_id = kp.region_id AND sqrt(pow(b.x - kp.x, 2) + pow(b.y - kp.y, 2)) <= 7e0 GROUP BY ALL""")
 def _(v):
     return owned(v)[2]
 
