@@ -23,7 +23,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from routekit.llm.common import documents, query, words
+from routekit.llm.common import documents, most_frequent, query, smallest_hashes, words
 from routekit.operators.core import checkpoint
 
 MIN_LENGTH, TRAINING, DICTIONARY, NEIGHBOURS = 16, 20_000, 2000, 64
@@ -48,7 +48,7 @@ def candidates(docs: DataFrame) -> DataFrame:
 def frequent_words(docs: DataFrame) -> list[str]:
     """The DICTIONARY most frequent words of three or more letters in all texts, ties in alphabetical order."""
     found = docs.select(F.explode_outer(words(F.lower("text"))).alias("w")).where(F.col("w").rlike("^[a-z]{3,}$"))
-    return [r["w"] for r in found.groupBy("w").count().orderBy(F.desc("count"), "w").limit(DICTIONARY).collect()]
+    return most_frequent(found, DICTIONARY)
 
 
 def bare(word: str) -> Column:
@@ -84,7 +84,7 @@ def scan(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     found = checkpoint(features(candidates(docs), frequent_words(docs)))
     marked = found.join(labels.select("doc_id", "at", "secret"), ["doc_id", "at"]) if labels is not None else labelled_by_rule(found)
     marked = marked.where("secret IS NOT NULL").withColumn("label", F.col("secret").cast("double"))
-    training = checkpoint(marked.orderBy(F.xxhash64("doc_id", "at", "found"), "doc_id", "at").limit(TRAINING))
+    training = checkpoint(smallest_hashes(marked.withColumn("h", F.xxhash64("doc_id", "at", "found")), TRAINING, "doc_id", "at"))
     kinds = [r["label"] for r in training.select("label").distinct().collect()]
     if len(kinds) < 2:
         score = F.lit(float(kinds[0]) if kinds else 0.0)

@@ -42,8 +42,9 @@ def payload_digest(data: bytes) -> str:
 
 def train_dictionary(pages: DataFrame) -> bytes:
     """A dictionary from the starts of SAMPLE_PAGES payloads with the smallest ids: it changes sizes, never contents."""
-    rows = pages.where("payload IS NOT NULL").select("id", F.substring("payload", 1, SAMPLE_BYTES).alias("p")).orderBy("id").limit(SAMPLE_PAGES).collect()
-    samples = [bytes(r["p"]) for r in rows if r["p"]]
+    ids = [r["id"] for r in pages.where("id IS NOT NULL").select("id").orderBy("id").limit(SAMPLE_PAGES).collect()]
+    rows = pages.where(F.col("id").isin(ids)).select("id", F.substring("payload", 1, SAMPLE_BYTES).alias("p")).limit(2 * SAMPLE_PAGES).collect() if ids else []
+    samples = sorted(bytes(r["p"]) for r in rows if r["p"])
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes() if len(samples) > 7 else b""
     except zstandard.ZstdError:  # too little or too uniform a sample
