@@ -149,9 +149,11 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     release(written)
     later = lambda pairs: pairs.select(F.col("v_doc_id").alias("doc_id"), F.col("v_at").alias("at")).distinct()
     settled = checkpoint(later(verified(checkpoint(leader_pairs(sets)), docs, classes)))
-    flagged = sets.select(*LINE, "n", "prefix").join(settled.withColumn("settled", F.lit(True)), list(LINE), "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
-    pairs = checkpoint(prefix_pairs(flagged))
+    joined = sets.select(*LINE, "n", "prefix").join(settled.withColumn("settled", F.lit(True)), list(LINE), "left")
+    flagged = checkpoint(joined.withColumn("settled", F.coalesce("settled", F.lit(False))))
     release(sets)
+    pairs = checkpoint(prefix_pairs(flagged))
+    release(flagged)
     return checkpoint(copies.unionByName(settled).unionByName(later(verified(pairs, docs, classes))).distinct())
 
 
