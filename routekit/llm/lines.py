@@ -10,6 +10,7 @@ empty table gives an empty result; other columns of the input, whatever their na
 """
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +18,7 @@ from routekit.llm.common import documents, literal_array, query, words
 from routekit.operators.core import checkpoint, release
 
 MIN_TOKENS, PERCENT = 5, 80
-COUNTERS = 1 << 16
-CLASS_SHIFT = 57
+COUNTERS = 1 << 18
 LEADERS = 3
 SHARED = 2
 
@@ -32,19 +32,23 @@ def rarity_classes(docs: DataFrame) -> Column | None:
 
     Any fixed order gives exact results; counters that several words share only make it less sharp. COUNTERS rows reach
     the driver whatever the input."""
-    rows = (docs.select(F.explode_outer(line_words(F.col("text"))).alias("w")).where("w IS NOT NULL").groupBy(F.pmod(F.xxhash64("w"), F.lit(COUNTERS)).cast("int").alias("at"))
-            .agg(F.floor(F.log2(F.count("*").cast("double"))).cast("int").alias("class")).collect())
-    if not rows:
+    found = docs.select(F.explode_outer(line_words(F.col("text"))).alias("w")).where("w IS NOT NULL")
+    rows = found.groupBy(F.pmod(F.xxhash64("w"), F.lit(COUNTERS)).cast("int").alias("at")).agg(F.floor(F.log2(F.count("*").cast("double"))).cast("int").alias("class")).toArrow()
+    if not rows.num_rows:
         return None
-    found = dict(map(tuple, rows))
-    return literal_array([found.get(k, 0) for k in range(COUNTERS)], "int")
+    classes = np.zeros(COUNTERS, np.int64)
+    classes[rows["at"].to_numpy()] = rows["class"].to_numpy()
+    return literal_array(classes.tolist(), "int")
 
 
 def ordered_tokens(line: Column, classes: Column) -> Column:
-    """Distinct token keys, rarest first: the rarity class in the top bits, 57 bits of the word's hash below."""
+    """Distinct token keys, rarest first: rarity class, then long words before short ones (words that share a counter are
+    told apart by their length, since long words are rarer), then 51 bits of the word's hash."""
     def key(w):
         h = F.xxhash64(w)
-        return F.shiftleft(F.get(classes, F.pmod(h, F.lit(COUNTERS)).cast("int")).cast("long"), CLASS_SHIFT).bitwiseOR(F.shiftrightunsigned(h, 64 - CLASS_SHIFT))
+        rare = F.shiftleft(F.get(classes, F.pmod(h, F.lit(COUNTERS)).cast("int")).cast("long"), 57)
+        short = F.shiftleft((F.lit(63) - F.least(F.octet_length(w), F.lit(63))).cast("long"), 51)
+        return rare.bitwiseOR(short).bitwiseOR(F.shiftrightunsigned(h, 13))
 
     return F.sort_array(F.array_distinct(F.transform(line_words(line), key)))
 
