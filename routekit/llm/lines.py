@@ -15,12 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from routekit.llm.common import documents, literal_array, query, words
-from routekit.operators.core import checkpoint, release
+from routekit.operators.core import checkpoint, release, union_all
 
 MIN_TOKENS, PERCENT = 5, 80
 COUNTERS = 1 << 18
 LEADERS = 3
 SHARED = 2
+SLICES = 4
 
 
 def line_words(line: Column) -> Column:
@@ -125,10 +126,17 @@ def prefix_pairs(sets: DataFrame) -> DataFrame:
     first = F.struct("i_doc_id", "i_at") < F.struct(*(F.col(f"p_{c}").alias(f"i_{c}") for c in LINE))
     use = F.when(first, ~F.col("p_settled")).otherwise(~F.col("i_settled"))
     fit = fits(*(F.col(f"{s}_{c}") for s in "ip" for c in ("n", "pos")))
-    met = [flag(probe.where(a), "p").join(flag(index.where(b), "i"), "token").where(shorter & use & fit) for a, b in (("NOT settled", "true"), ("settled", "NOT settled"))]
+
+    def met(part, a, b):
+        mine = F.pmod(F.xxhash64(*LINE), F.lit(SLICES)) == part
+        return flag(probe.where(mine).where(a), "p").join(flag(index.where(b), "i"), "token").where(shorter & use & fit)
+
     end = lambda c: (F.when(first, F.col(f"i_{c}")).otherwise(F.col(f"p_{c}")).alias(f"u_{c}"), F.when(first, F.col(f"p_{c}")).otherwise(F.col(f"i_{c}")).alias(f"v_{c}"))
-    pairs = met[0].unionByName(met[1]).select(*end("doc_id"), *end("at"))
-    return pairs.groupBy(*PAIR).agg(F.count("*").alias("shared")).where(F.col("shared") >= SHARED).select(*PAIR)
+    found = []
+    for part in range(SLICES):  # every pair lies in one slice of the longer sets, so the disk of one slice is needed at a time
+        pairs = met(part, "NOT settled", "true").unionByName(met(part, "settled", "NOT settled")).select(*end("doc_id"), *end("at"))
+        found.append(checkpoint(pairs.groupBy(*PAIR).agg(F.count("*").alias("shared")).where(F.col("shared") >= SHARED).select(*PAIR)))
+    return union_all(found)
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -156,7 +164,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     joined = sets.select(*LINE, "n", "prefix").join(settled.withColumn("settled", F.lit(True)), list(LINE), "left")
     flagged = checkpoint(joined.withColumn("settled", F.coalesce("settled", F.lit(False))))
     release(sets)
-    pairs = checkpoint(prefix_pairs(flagged))
+    pairs = prefix_pairs(flagged)
     release(flagged)
     return checkpoint(copies.unionByName(settled).unionByName(later(verified(pairs, docs, classes))).distinct())
 
