@@ -1,8 +1,9 @@
 """Line dedup: an exact set-similarity self-join of all lines, with prefix, positional and length filters.
 
-Only DataFrame functions. A line is what stands between line ends (\\n); its tokens are its distinct words in lower case. Lines of fewer than MIN_TOKENS distinct words say too little to be called copies and always stay. Any other line
-is removed when a line before it (smaller document id, then smaller position) has Jaccard similarity 0.8 or more with it;
-this is judged on the input, so a removed line still removes later ones.
+Only DataFrame functions. A line is what stands between line ends (\\n); its tokens are its distinct words in lower case.
+A line with at least one word is removed when a line before it (smaller document id, then smaller position) has Jaccard
+similarity 0.8 or more with it; this is judged on the input, so a removed line still removes later ones. Sets of fewer
+than JOINED words are similar to equal sets only (three words of four are 0.75), so they take no part in the joins.
 
 Cases: null texts stay null and empty texts stay empty; a document that loses every line keeps its row with an empty text;
 rows with a null id or a repeated id are compared by the first of them in their position and lose the same lines; an
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from routekit.llm.common import documents, literal_array, query, words
 from routekit.operators.core import checkpoint, release, union_all
 
-MIN_TOKENS, PERCENT = 5, 80
+MIN_TOKENS, JOINED, PERCENT = 1, 4, 80
 COUNTERS = 1 << 18
 LEADERS = 3
 SHARED = 2
@@ -33,8 +34,12 @@ def rarity_classes(docs: DataFrame) -> Column | None:
 
     Any fixed order gives exact results; counters that several words share only make it less sharp. COUNTERS rows reach
     the driver whatever the input."""
-    found = docs.select(F.explode_outer(line_words(F.col("text"))).alias("w")).where("w IS NOT NULL")
-    rows = found.groupBy(F.pmod(F.xxhash64("w"), F.lit(COUNTERS)).cast("int").alias("at")).agg(F.floor(F.log2(F.count("*").cast("double"))).cast("int").alias("class")).toArrow()
+    return counter_classes(docs.select(F.explode_outer(line_words(F.col("text"))).alias("w")))
+
+
+def counter_classes(found: DataFrame) -> Column | None:
+    """The same for the values of column `w`; None if there are none."""
+    rows = found.where("w IS NOT NULL").groupBy(F.pmod(F.xxhash64("w"), F.lit(COUNTERS)).cast("int").alias("at")).agg(F.floor(F.log2(F.count("*").cast("double"))).cast("int").alias("class")).toArrow()
     if not rows.num_rows:
         return None
     classes = np.zeros(COUNTERS, np.int64)
@@ -151,7 +156,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         return docs.select("doc_id", F.lit(0).alias("at")).where("false")
     tokens = numbered_lines(docs.where("doc_id IS NOT NULL")).select(*LINE, ordered_tokens(F.col("line"), classes).alias("tokens"))
     n = F.size("tokens")
-    prefix = F.when(n >= MIN_TOKENS, F.slice("tokens", 1, n - least_overlap(n) + SHARED))
+    prefix = F.when(n >= JOINED, F.slice("tokens", 1, n - least_overlap(n) + SHARED))
     written = checkpoint(tokens.select(*LINE, n.alias("n"), F.xxhash64("tokens").alias("set"), prefix.alias("prefix")))
     sized = written.where(F.col("n") >= MIN_TOKENS)
     firsts = sized.groupBy("set", "n").agg(F.min(F.struct(*LINE)).alias("first"), F.count("*").alias("copies"), F.any_value("prefix").alias("prefix"))
@@ -159,9 +164,10 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     several = sets.where("copies > 1").select("set", "n", F.struct(*LINE).alias("first"))
     copies = checkpoint(sized.select(*LINE, "set", "n").join(several, ["set", "n"]).where(F.struct(*LINE) > F.col("first")).select(*LINE))
     release(written)
+    large = sets.where(F.col("n") >= JOINED)
     later = lambda pairs: pairs.select(F.col("v_doc_id").alias("doc_id"), F.col("v_at").alias("at")).distinct()
-    settled = checkpoint(later(verified(checkpoint(leader_pairs(sets)), docs, classes)))
-    joined = sets.select(*LINE, "n", "prefix").join(settled.withColumn("settled", F.lit(True)), list(LINE), "left")
+    settled = checkpoint(later(verified(checkpoint(leader_pairs(large)), docs, classes)))
+    joined = large.select(*LINE, "n", "prefix").join(settled.withColumn("settled", F.lit(True)), list(LINE), "left")
     flagged = checkpoint(joined.withColumn("settled", F.coalesce("settled", F.lit(False))))
     release(sets)
     pairs = prefix_pairs(flagged)
