@@ -4,9 +4,11 @@ Only DataFrame functions. A text becomes tokens (letter runs and numbers, no pun
 <num>, units after a number <unit>, and names (capitalised words that don't begin a sentence) <name>; other words stand in
 lower case. Texts in capitals show no names, so windows in which names stand as words are used beside the others. Windows
 of WIDTH tokens meet by hash; a window of an item counts if at most half of it is placeholders. Found windows of one
-document and item whose positions differ by about the same distance form a passage. It is a leak when it covers SHARE
-percent of the item's windows and its slots are consistent: over all of it each value of the item stands for one value
-of the document, and the other way round.
+document and item whose positions differ by about the same distance form a passage; where an item repeats a phrase, its
+windows also meet each other's places, so each window of a passage is taken at one place and each place for one window,
+those with the distance that most windows of the passage have. A passage is a leak when it covers SHARE percent of the
+item's windows and its slots are consistent: over all of it each value of the item stands for one value of the document,
+and the other way round.
 
 Cases: null and empty texts have no windows; items of fewer than WIDTH tokens, or of placeholders only, can't be found;
 repeated rows of a document or an item give one result; an item found in several places reports its fullest passage, the
@@ -88,6 +90,17 @@ def seen_filter(hashes: DataFrame) -> Column:
     return F.get(constant, F.floor(bit / 64).cast("int")).bitwiseAND(F.expr("shiftleft(1L, CAST(pmod(hash, 64) AS INT))")) != 0
 
 
+def aligned(passages: DataFrame) -> DataFrame:
+    """`passages` with one-to-one `hits`: of those that share an item's or the document's position, the one stays whose
+    distance most hits of its passage have (the smallest of equals)."""
+    step = lambda hit: F.pmod(hit["at"] - hit["item_at"] + F.col("shift") * (BAND // 2), F.lit(BAND))
+    support = F.transform(F.sequence(F.lit(0), F.lit(BAND - 1)), lambda k: F.size(F.filter("hits", lambda hit: step(hit) == k)))
+    ranked = lambda key, other: F.array_sort(F.transform("hits", lambda hit: F.struct(hit[key].alias(key), (-F.get("_support", step(hit).cast("int"))).alias("_s"), step(hit).alias("_d"), hit[other].alias(other))))
+    held = passages.withColumn("_support", support).withColumns({"_a": ranked("item_at", "at"), "_b": ranked("at", "item_at")})
+    heads = lambda c, key: F.transform(F.filter(c, lambda x, k: (k == 0) | (F.get(F.col(c), k - 1)[key] != x[key])), lambda x: F.struct(x["item_at"].alias("item_at"), x["at"].alias("at")))
+    return held.withColumn("hits", F.array_intersect(heads("_a", "item_at"), heads("_b", "at"))).drop("_support", "_a", "_b").withColumn("n_found", F.size("hits").cast("long"))
+
+
 def found_passages(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_windows, n_found, hits): passages that cover enough of an item; hits are (item_at, at)."""
     held = checkpoint(item_windows(items))
@@ -101,7 +114,8 @@ def found_passages(docs: DataFrame, items: DataFrame) -> DataFrame:
     band = (F.col("at") - F.col("item_at") + F.col("shift") * (BAND // 2))
     hits = hits.withColumn("shift", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", F.floor(band / BAND))
     passages = hits.groupBy("doc_id", "item_id", "shift", "band").agg(F.countDistinct("item_at").alias("n_found"), F.collect_set(F.struct("item_at", "at")).alias("hits"))
-    return passages.join(sizes, "item_id").where(100 * F.col("n_found") >= SHARE * F.col("n_windows"))
+    enough = 100 * F.col("n_found") >= SHARE * F.col("n_windows")
+    return aligned(passages.join(sizes, "item_id").where(enough)).where(enough)
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
