@@ -3,7 +3,7 @@ import importlib
 
 from routekit.llm.common import ORACLES, QUERIES
 
-MODULES = ["simhash", "decontaminate", "classes", "quality", "licences", "substrings", "lines", "secrets", "pieces", "warc"]
+MODULES = ["simhash", "decontaminate", "classes", "quality", "licences", "substrings", "lines", "secrets", "pieces", "warc", "mixing", "whitening", "prefixes"]
 
 for _name in MODULES:
     importlib.import_module(f"routekit.llm.{_name}")
