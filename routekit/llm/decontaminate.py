@@ -17,7 +17,7 @@ result; other columns, whatever their names, are left alone.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from routekit.llm.common import documents, query, table
@@ -30,6 +30,7 @@ BROADCAST_WINDOWS, FILTER_BITS = 200_000, 24
 UNITS = ["kg", "g", "mg", "km", "m", "cm", "mm", "mi", "mile", "miles", "ft", "feet", "inch", "inches", "l", "ml", "litre", "litres", "liter", "liters",
          "s", "sec", "second", "seconds", "min", "minute", "minutes", "h", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years",
          "percent", "dollar", "dollars", "euro", "euros", "pound", "pounds", "cent", "cents", "degree", "degrees", "mph"]
+PASSAGE = ["doc_id", "item_id", "shift", "band"]
 NAME = "\x01"  # stands before a name; no token holds it otherwise
 NAMES = r"(?<=[\p{L}\p{N},;] )(\p{Lu}\p{Ll}+)(?![\p{L}\p{N}])"
 TOKENS = NAME + r"?\p{L}[\p{L}\p{M}\p{N}_]*|[0-9]+(?:[.,:/][0-9]+)*"
@@ -90,15 +91,15 @@ def seen_filter(hashes: DataFrame) -> Column:
     return F.get(constant, F.floor(bit / 64).cast("int")).bitwiseAND(F.expr("shiftleft(1L, CAST(pmod(hash, 64) AS INT))")) != 0
 
 
-def aligned(passages: DataFrame) -> DataFrame:
-    """`passages` with one-to-one `hits`: of those that share an item's or the document's position, the one stays whose
-    distance most hits of its passage have (the smallest of equals)."""
-    step = lambda hit: F.pmod(hit["at"] - hit["item_at"] + F.col("shift") * (BAND // 2), F.lit(BAND))
-    support = F.transform(F.sequence(F.lit(0), F.lit(BAND - 1)), lambda k: F.size(F.filter("hits", lambda hit: step(hit) == k)))
-    ranked = lambda key, other: F.array_sort(F.transform("hits", lambda hit: F.struct(hit[key].alias(key), (-F.get("_support", step(hit).cast("int"))).alias("_s"), step(hit).alias("_d"), hit[other].alias(other))))
-    held = passages.withColumn("_support", support).withColumns({"_a": ranked("item_at", "at"), "_b": ranked("at", "item_at")})
-    heads = lambda c, key: F.transform(F.filter(c, lambda x, k: (k == 0) | (F.get(F.col(c), k - 1)[key] != x[key])), lambda x: F.struct(x["item_at"].alias("item_at"), x["at"].alias("at")))
-    return held.withColumn("hits", F.array_intersect(heads("_a", "item_at"), heads("_b", "at"))).drop("_support", "_a", "_b").withColumn("n_found", F.size("hits").cast("long"))
+def aligned(hits: DataFrame) -> DataFrame:
+    """`hits` one-to-one per passage: of those that share an item's or the document's position, the one stays whose distance
+    most hits of its passage have (the smallest of equals). In rows: an array expression would be built once per element."""
+    step = F.pmod(F.col("at") - F.col("item_at") + F.col("shift") * (BAND // 2), F.lit(BAND))
+    support = F.count("*").over(Window.partitionBy(*PASSAGE, "_step"))
+    first = lambda place: F.row_number().over(Window.partitionBy(*PASSAGE, place).orderBy(F.desc("_support"), "_step"))
+    counted = hits.withColumn("_step", step).withColumn("_support", support)
+    ranked = counted.withColumns({"_a": first("item_at"), "_b": first("at")})
+    return ranked.where("_a = 1 AND _b = 1").select(*hits.columns)
 
 
 def found_passages(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -111,11 +112,14 @@ def found_passages(docs: DataFrame, items: DataFrame) -> DataFrame:
     else:
         hits = rows.where(seen_filter(held)).join(held, "hash")
     # each hit lies in two of the overlapping bands of distances
+    hits = checkpoint(hits.select("doc_id", "item_id", "item_at", "at").distinct())
     band = (F.col("at") - F.col("item_at") + F.col("shift") * (BAND // 2))
     hits = hits.withColumn("shift", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", F.floor(band / BAND))
-    passages = hits.groupBy("doc_id", "item_id", "shift", "band").agg(F.countDistinct("item_at").alias("n_found"), F.collect_set(F.struct("item_at", "at")).alias("hits"))
     enough = 100 * F.col("n_found") >= SHARE * F.col("n_windows")
-    return aligned(passages.join(sizes, "item_id").where(enough)).where(enough)
+    full = hits.groupBy(*PASSAGE).agg(F.countDistinct("item_at").alias("n_found")).join(sizes, "item_id").where(enough).select(*PASSAGE)
+    kept = aligned(hits.join(checkpoint(full), PASSAGE, "left_semi"))
+    passages = kept.groupBy(*PASSAGE).agg(F.count("*").alias("n_found"), F.collect_list(F.struct("item_at", "at")).alias("hits"))
+    return passages.join(sizes, "item_id").where(enough)
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
