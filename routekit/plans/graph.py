@@ -49,13 +49,17 @@ def _(v):
     return gr.bfs_tree(links(v)).select("route_id", "node", "level")
 
 
-@query("g8_shortest_lengths", f"""WITH RECURSIVE {LINK}, sr AS (SELECT route_id, min(u) AS source FROM bw GROUP BY 1), ds AS (SELECT route_id, source, source AS node, 0e0 AS length, [source] AS path FROM sr
-  UNION ALL SELECT d.route_id, d.source, b.v, d.length + b.w, list_append(d.path, b.v) FROM ds d JOIN bw b ON b.route_id = d.route_id AND b.u = d.node WHERE NOT list_contains(d.path, b.v) AND d.length + b.w <= 250)
+# no shortest way has more hops than its route has nodes
+HOPS = "(SELECT max(k) FROM (SELECT count(DISTINCT u) AS k FROM bw GROUP BY route_id))"
+
+
+@query("g8_shortest_lengths", f"""WITH RECURSIVE {LINK}, sr AS (SELECT route_id, min(u) AS source FROM bw GROUP BY 1), ds AS (SELECT route_id, source, source AS node, 0e0 AS length, 0 AS hop FROM sr
+  UNION ALL SELECT d.route_id, d.source, b.v, min(d.length + b.w), d.hop + 1 FROM ds d JOIN bw b ON b.route_id = d.route_id AND b.u = d.node WHERE d.hop < {HOPS} GROUP BY d.route_id, d.source, b.v, d.hop)
  SELECT route_id, source, node, round(min(length), 6) AS length FROM ds GROUP BY 1, 2, 3""")
 def _(v):
     adj = links(v)
     sources = adj.groupBy("route_id").agg(F.min(F.least("u", "v")).alias("node"))
-    return rounded(gr.shortest_lengths(adj, sources, max_length=250.0), "length")
+    return rounded(gr.shortest_lengths(adj, sources), "length")
 
 
 @query("g7_cluster_points", """WITH RECURSIVE p AS (SELECT route_id, page, sym_id, x, y FROM v_symbols), c AS (SELECT route_id, page, sym_id, sym_id AS seen FROM p UNION SELECT c.route_id, c.page, c.sym_id, q.sym_id FROM c JOIN p s ON s.sym_id = c.seen JOIN p q ON q.route_id = s.route_id AND q.page = s.page AND sqrt(pow(q.x - s.x, 2) + pow(q.y - s.y, 2)) <= 52),
@@ -165,7 +169,7 @@ def _(v):
 @query("g12_linear_runs", f"""WITH RECURSIVE {LINK}, jn AS (SELECT route_id, u AS node FROM bw GROUP BY ALL HAVING count(DISTINCT v) >= 3 AND bool_or(abs(v - u) > 1)), inn AS (SELECT DISTINCT route_id, u, v FROM bw WHERE (route_id, u) NOT IN (SELECT (route_id, node) FROM jn) AND (route_id, v) NOT IN (SELECT (route_id, node) FROM jn)),
  nd AS (SELECT DISTINCT route_id, u AS node FROM bw WHERE (route_id, u) NOT IN (SELECT (route_id, node) FROM jn)), cl AS (SELECT route_id, node, node AS seen FROM nd UNION SELECT c.route_id, c.node, i.v FROM cl c JOIN inn i ON i.route_id = c.route_id AND i.u = c.seen), cm AS (SELECT route_id, node, min(seen) AS run FROM cl GROUP BY ALL),
  bs AS (SELECT bw.route_id, bw.u AS node, min(bw.v) AS hub FROM bw JOIN jn ON jn.route_id = bw.route_id AND jn.node = bw.v GROUP BY ALL), st AS (SELECT cm.route_id, run, coalesce(arg_min(cm.node, [hub, cm.node]) FILTER (hub IS NOT NULL), min(cm.node)) AS node FROM cm LEFT JOIN bs USING (route_id, node) GROUP BY ALL),
- hp AS (SELECT route_id, run, node, 0 AS pos FROM st UNION SELECT h.route_id, h.run, i.v, h.pos + 1 FROM hp h JOIN inn i ON i.route_id = h.route_id AND i.u = h.node WHERE h.pos < 40) SELECT route_id, run, node, min(pos) AS pos FROM hp GROUP BY 1, 2, 3""")
+ hp AS (SELECT route_id, run, node, 0 AS pos FROM st UNION SELECT h.route_id, h.run, i.v, h.pos + 1 FROM hp h JOIN inn i ON i.route_id = h.route_id AND i.u = h.node WHERE h.pos < {HOPS}) SELECT route_id, run, node, min(pos) AS pos FROM hp GROUP BY 1, 2, 3""")
 def _(v):
     adj = links(v)
     return gr.linear_runs(adj, gr.junctions(adj))
@@ -177,14 +181,20 @@ def topology_inputs(v):
     steps = v.base.selectExpr("region_id", "route_id", "idx AS v", "x AS x2", "y AS y2").withColumn("u", F.col("v") - 1)
     adj = (v.base.selectExpr("region_id", "route_id", "idx AS u", "x", "y").join(steps, ["region_id", "route_id", "u"])
            .selectExpr("region_id", "u", "v", "sqrt(pow(x - x2, 2) + pow(y - y2, 2)) AS w"))
-    jumps = v.jumps.where("source = 'bifurcation-main' AND meters > 60")
+    jumps = v.jumps.where("source = 'bifurcation-main'")
     return assign, conns, adj, gr.required_degree(jumps)
 
 
 @query("g17_topology_check", """WITH a AS (SELECT route_id, number, CASE WHEN source = 'error' AND route_id % 4 = 0 THEN row_id + 1 ELSE row_id END AS idx FROM v_tracks), tw AS (SELECT DISTINCT route_id FROM (SELECT route_id, idx FROM a GROUP BY ALL HAVING count(*) > 1)),
- rq AS (SELECT route_id, number, count(*) AS degree FROM (SELECT route_id, lo AS number FROM v_jumps WHERE source = 'bifurcation-main' AND meters > 60 UNION ALL SELECT route_id, hi FROM v_jumps WHERE source = 'bifurcation-main' AND meters > 60) GROUP BY ALL),
- hv AS (SELECT b.idx, (SELECT count(*) FROM v_base c WHERE c.route_id = b.route_id AND abs(c.idx - b.idx) = 1) AS have FROM v_base b), th AS (SELECT DISTINCT a.route_id FROM rq JOIN a USING (route_id, number) LEFT JOIN hv USING (idx) WHERE least(greatest(coalesce(have, 0), 1), 3) < least(greatest(degree, 1), 3))
- SELECT r.route_id, tw.route_id IS NULL AND th.route_id IS NULL AS ok, CASE WHEN tw.route_id IS NOT NULL THEN 'collision' WHEN th.route_id IS NOT NULL THEN 'hub-degree' END AS reason FROM (SELECT DISTINCT route_id FROM a) r LEFT JOIN tw USING (route_id) LEFT JOIN th USING (route_id)""")
+ rq AS (SELECT route_id, number, count(*) AS degree FROM (SELECT route_id, lo AS number FROM v_jumps WHERE source = 'bifurcation-main' UNION ALL SELECT route_id, hi FROM v_jumps WHERE source = 'bifurcation-main') GROUP BY ALL),
+ hv AS (SELECT b.idx, (SELECT count(*) FROM v_base c WHERE c.route_id = b.route_id AND abs(c.idx - b.idx) = 1) AS have FROM v_base b), th AS (SELECT DISTINCT a.route_id FROM rq JOIN a USING (route_id, number) LEFT JOIN hv USING (idx) WHERE least(greatest(coalesce(have, 0), 1), 3) < least(greatest(degree, 1), 3)),
+ st AS (SELECT route_id, idx, idx - row_number() OVER w AS part, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS step FROM v_base WINDOW w AS (PARTITION BY route_id ORDER BY idx)),
+ ar AS (SELECT route_id AS base, part, idx, sum(coalesce(step, 0)) OVER (PARTITION BY route_id, part ORDER BY idx) AS c FROM st),
+ ln AS (SELECT DISTINCT route_id, unnest([lo, hi]) AS number FROM v_spans WHERE meters > 0), sg AS (SELECT ln.route_id, ln.number, sum(CASE WHEN s.lo IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY ln.route_id ORDER BY ln.number) AS run FROM ln LEFT JOIN v_spans s ON s.route_id = ln.route_id AND s.hi = ln.number AND s.meters > 0),
+ rn AS (SELECT sg.route_id, run, sg.number, base, part, c FROM sg JOIN a USING (route_id, number) LEFT JOIN ar USING (idx)), h0 AS (SELECT route_id, run, arg_min({'base': base, 'part': part, 'c': c}, number) AS s FROM rn GROUP BY 1, 2),
+ lg AS (SELECT route_id, run, number, CASE WHEN rn.base = s.base AND rn.part = s.part THEN abs(c - s.c) END AS length FROM rn JOIN h0 USING (route_id, run)), bk AS (SELECT DISTINCT route_id FROM (SELECT *, lag(length) OVER (PARTITION BY route_id, run ORDER BY number) AS prev FROM lg) WHERE length < prev - 4)
+ SELECT r.route_id, tw.route_id IS NULL AND bk.route_id IS NULL AND th.route_id IS NULL AS ok, CASE WHEN tw.route_id IS NOT NULL THEN 'collision' WHEN bk.route_id IS NOT NULL THEN 'monotonicity' WHEN th.route_id IS NOT NULL THEN 'hub-degree' END AS reason
+ FROM (SELECT DISTINCT route_id FROM a) r LEFT JOIN tw USING (route_id) LEFT JOIN bk USING (route_id) LEFT JOIN th USING (route_id)""")
 def _(v):
     assign, conns, adj, required = topology_inputs(v)
     return gr.topology_check(assign, conns, adj, required, gr.junctions(conns), tol=4.0)
