@@ -2,8 +2,9 @@
 
 Only DataFrame functions. Cases: null and empty texts have no words and fail the base rules; documents without a label
 count in the raw corpus only; repeated label rows count once (quality 1 wins); without any trusted document, or with one
-label class only, the ratio rejects nothing; ties at the threshold are kept; rows with a null id are returned but their
-ratio is not known, so only the base rules speak; other columns of the input are left alone.
+label class only, the ratio rejects nothing; ties at the threshold are kept; every row is judged by its own text, so rows
+with a null id have a ratio and a verdict like others (but no label), and rows that repeat an id with other texts have
+their own; a label counts for each row of its id; other columns of the input are left alone.
 """
 from __future__ import annotations
 
@@ -92,12 +93,18 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> Column | None:
     return literal_array([round(math.log((g + 1) / (r + 1)) + shift, 6) for r, g in zip(raw, good)], "double")
 
 
+def text_hash(text: str = "text") -> Column:
+    """Tells the texts of one id apart, and those of rows without an id."""
+    return F.xxhash64(text).alias("text_hash")
+
+
 def ratio_scores(docs: DataFrame, ratios: Column | None) -> DataFrame:
-    """(doc_id, ratio): the mean log ratio over a document's n-grams, rounded to 1e-6; sums meet per document before the shuffle."""
+    """(doc_id, text_hash, ratio): the mean log ratio over a text's n-grams, rounded to 1e-6; sums meet per text before the shuffle."""
+    marked = docs.select("doc_id", "text", text_hash())
     if ratios is None:
-        return docs.select("doc_id", F.lit(0.0).alias("ratio")).distinct()
-    scored = grams(docs.select("doc_id", "text"), "doc_id").select("doc_id", F.get(ratios, F.col("bucket")).alias("_r"))
-    return scored.groupBy("doc_id").agg(F.round(F.avg("_r"), 6).alias("ratio"))
+        return marked.select("doc_id", "text_hash", F.lit(0.0).alias("ratio")).distinct()
+    scored = grams(marked, "doc_id", "text_hash").select("doc_id", "text_hash", F.get(ratios, F.col("bucket")).alias("_r"))
+    return scored.groupBy("doc_id", "text_hash").agg(F.round(F.avg("_r"), 6).alias("ratio"))
 
 
 def threshold(scores: DataFrame, labels: DataFrame) -> float:
@@ -127,7 +134,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ratios = log_ratios(docs, labels)
     scores = checkpoint(ratio_scores(docs, ratios))
     limit = threshold(scores, labels)
-    base = base_rules(docs).drop("text").join(scores, "doc_id", "left")
+    base = base_rules(docs.withColumn("text_hash", text_hash())).drop("text")
+    known = scores.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "ratio")
+    base = base.join(known, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id", "_hash", "text_hash")
     passed = F.coalesce(F.col("ratio") >= limit, F.lit(True)) if limit > -math.inf else F.lit(True)
     return base.withColumn("kept", ~F.col("base_failed") & passed)
 

@@ -15,10 +15,12 @@ document lies in exactly one.
 * An anchor with more than CROWD different passages (what surrounds a very common passage) would not fit a shard; its
   windows are counted by hash instead, which no hot key can slow down, and those that occur twice are removed.
 
+Joins on an anchor or a window deal keys with many rows over several tasks (`spread_join`).
+
 Cases: null texts have no words; texts shorter than a window lose nothing; repeated rows are occurrences of their own, so
-they lose their windows; rows that repeat an id are joined by their place in the result only if their texts are equal, so
-ids should be unique; rows with a null id are returned with nothing removed, and remove nothing; an empty table gives an
-empty result; other columns are left alone.
+they lose their windows; rows are told apart by a number of their own, so ids of any type may repeat, with equal or other
+texts, or be null, and such rows count like all others; very long texts are handled a document at a time (the memory of
+one text, some numbers a word); an empty table gives an empty result; other columns, whatever their names, are left out.
 """
 from __future__ import annotations
 
@@ -27,12 +29,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from routekit.llm.common import documents, query
 from routekit.operators.core import checkpoint, release
 
 SPAN, GRAM, CROWD = 35, 8, 64
 SHARD_PASSAGES = 1500
+HOT_SHARE, HOT_LEAST, SALTS = 200, 10_000, 64
 ODD = np.uint64(0x9E3779B97F4A7C15)  # any odd number
 
 
@@ -137,44 +141,44 @@ class Automaton:
 
 
 def settle_shard(rows: pa.Table, span: int = SPAN) -> pa.Table:
-    """(doc_id, begin, end) removed from the single passages of a shard (doc_id, first, copies, words)."""
+    """(row, begin, end) removed from the single passages of a shard (row, first, copies, words)."""
     machine, symbols, kept, stop = Automaton(), {}, [], -1
-    for doc_id, first, copies, data in zip(*(rows[c].to_pylist() for c in ("doc_id", "first", "copies", "words"))):
+    for row, first, copies, data in zip(*(rows[c].to_pylist() for c in ("row", "first", "copies", "words"))):
         ids = [symbols.setdefault(w, len(symbols)) for w in data.split()]
         for symbol in ids:
             machine.add(symbol, min(copies, 2))
         machine.add(stop, 0)  # a symbol that occurs nowhere else keeps passages apart
         stop -= 1
         if copies == 1:
-            kept.append((doc_id, first, ids))
+            kept.append((row, first, ids))
     machine.finish()
-    out = [(doc_id, first + a, first + b) for doc_id, first, ids in kept for a, b in machine.repeated_spans(ids, span)]
-    return pa.table({name: pa.array([r[k] for r in out], pa.int64()) for k, name in enumerate(("doc_id", "begin", "end"))})
+    out = [(row, first + a, first + b) for row, first, ids in kept for a, b in machine.repeated_spans(ids, span)]
+    return pa.table({name: pa.array([r[k] for r in out], pa.int64()) for k, name in enumerate(("row", "begin", "end"))})
 
 
 def all_passages(docs: DataFrame) -> DataFrame:
-    """(anchor, passage, doc_id, first, windows) of all documents (doc_id, text)."""
-    names = ["anchor", "passage", "doc_id", "first", "windows"]
+    """(anchor, passage, row, first, windows) of all documents (row, text)."""
+    names = ["anchor", "passage", "row", "first", "windows"]
 
     def run(batches):
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 found = passages(text.as_py().split())
                 if found is not None:
                     anchor, passage, first, windows = found
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(passage), pa.array(np.full(len(first), doc_id)), pa.array(first.astype(np.int64)), pa.array(windows.astype(np.int64))], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(passage), pa.array(np.full(len(first), row)), pa.array(first.astype(np.int64)), pa.array(windows.astype(np.int64))], names)
 
-    whole = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.col("text").cast("binary"))
-    return whole.mapInArrow(run, "anchor long, passage long, doc_id long, first long, windows long")
+    whole = docs.where("row IS NOT NULL AND text IS NOT NULL").select("row", F.col("text").cast("binary"))
+    return whole.mapInArrow(run, "anchor long, passage long, row long, first long, windows long")
 
 
 def passage_words(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """(anchor, passage, doc_id, first, copies, words, window): for a bounded anchor the words of each passage, for a crowded one its window hashes."""
-    listed = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "passage", "first", "windows", "copies", "crowded")).alias("list"))
+    """(anchor, passage, row, first, copies, words, window): for a bounded anchor the words of each passage, for a crowded one its window hashes."""
+    listed = wanted.groupBy("row").agg(F.collect_list(F.struct("anchor", "passage", "first", "windows", "copies", "crowded")).alias("list"))
 
     def run(batches):
         for batch in batches:
-            for doc_id, text, items in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            for row, text, items in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 found = text.as_py().split()
                 hashes, out = None, []
                 for r in items.as_py():
@@ -186,38 +190,57 @@ def passage_words(wanted: DataFrame, docs: DataFrame) -> DataFrame:
                     else:
                         out.append((r["anchor"], begin, r["copies"], b" ".join(found[begin:begin + n + SPAN - 1]), None))
                 columns = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(out), pa.int64()), *(pa.array(columns[k], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())))],
-                                                 ["doc_id", "anchor", "first", "copies", "words", "window"])
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(out), pa.int64()), *(pa.array(columns[k], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())))],
+                                                 ["row", "anchor", "first", "copies", "words", "window"])
+
+    joined = docs.join(listed, "row").select("row", F.col("text").cast("binary").alias("text"), "list")
+    return joined.mapInArrow(run, "row long, anchor long, first long, copies long, words binary, window long")
 
-    joined = docs.join(listed, "doc_id").select("doc_id", F.col("text").cast("binary").alias("text"), "list")
-    return joined.mapInArrow(run, "doc_id long, anchor long, first long, copies long, words binary, window long")
+
+def spread_join(rows: DataFrame, keys: DataFrame, on: list[str], n: str, how: str = "inner") -> DataFrame:
+    """`rows` (with row, first) joined with the written table `keys`, which has a row for each key and in `n` how many of
+    `rows` hold it. A key with over a HOT_SHARE-th of them (there are fewer than HOT_SHARE such keys, so their hashes are
+    constants of the plan) is dealt over SALTS tasks by its rows, and its one key row is repeated for each."""
+    limit = max(HOT_LEAST, (keys.agg(F.sum(n)).first()[0] or 0) // HOT_SHARE)
+    hot = [r[0] for r in keys.where(F.col(n) > limit).select(F.xxhash64(*on)).distinct().collect()]
+    if not hot:
+        return rows.join(keys.drop(n), on, how)
+    crowded = F.xxhash64(*on).isin(hot)
+    dealt = rows.withColumn("_salt", F.when(crowded, F.pmod(F.xxhash64("row", "first"), F.lit(SALTS)).cast("int")).otherwise(0))
+    copies = keys.drop(n).withColumn("_salt", F.explode(F.when(crowded, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, begin, end): word positions that repeat elsewhere, ends excluded; spans may overlap."""
+    """(row, begin, end) of `docs` (row, text): word positions that repeat elsewhere, ends excluded; spans may overlap."""
     found = checkpoint(all_passages(docs))  # read twice below
-    anchors = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("passage").alias("low"), F.max("passage").alias("high")).where("n > 1")
-    shared = checkpoint(found.join(anchors.select("anchor", (F.col("low") == F.col("high")).alias("alike")), "anchor"))
-    release(found)
-    span = lambda df: df.select("doc_id", F.col("first").alias("begin"), (F.col("first") + F.col("windows") + (SPAN - 1)).alias("end"))
-    kinds = checkpoint(shared.where("NOT alike").groupBy("anchor", "passage", "windows").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "first")).alias("at")))
-    twice = span(shared.where("NOT alike").join(kinds.where("copies > 1").select("anchor", "passage", "windows"), ["anchor", "passage", "windows"], "left_semi"))
-    sizes = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).select("anchor", (F.col("kinds") > CROWD).alias("crowded"))
-    wanted = checkpoint(kinds.join(sizes, "anchor").select("anchor", "passage", "windows", "copies", "crowded", "at.*"))
+    anchors = checkpoint(found.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("passage") == F.max("passage")).alias("alike")).where("n > 1"))
+    shared = checkpoint(spread_join(found, anchors, ["anchor"], "n"))
+    release(found, anchors)
+    span = lambda df: df.select("row", F.col("first").alias("begin"), (F.col("first") + F.col("windows") + (SPAN - 1)).alias("end"))
+    unlike = shared.where("NOT alike")
+    kinds = checkpoint(unlike.groupBy("anchor", "passage", "windows").agg(F.count("*").alias("copies"), F.min(F.struct("row", "first")).alias("at")))
+    twice = span(spread_join(unlike, kinds.where("copies > 1").drop("at"), ["anchor", "passage", "windows"], "copies", "left_semi"))
+    sizes = checkpoint(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).withColumn("crowded", F.col("kinds") > CROWD))
+    wanted = checkpoint(spread_join(kinds.select("anchor", "passage", "windows", "copies", "at.*"), sizes, ["anchor"], "kinds"))
     passages_ = checkpoint(passage_words(wanted, docs))
+    release(sizes, wanted)
     held = passages_.where("words IS NOT NULL")
     shards = max(1, -(-held.count() // SHARD_PASSAGES))
-    settled = held.select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard"), "doc_id", "first", "copies", "words").groupBy("shard").applyInArrow(
-        lambda rows: settle_shard(rows), "doc_id long, begin long, end long")
-    windows = passages_.where("window IS NOT NULL").select("doc_id", "first", "copies", "window", "anchor")
-    often = windows.groupBy("anchor", "window").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor", "window")
-    counted = windows.where("copies = 1").join(often, ["anchor", "window"], "left_semi").select("doc_id", F.col("first").alias("begin"), (F.col("first") + SPAN).alias("end"))
+    settled = held.select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard"), "row", "first", "copies", "words").groupBy("shard").applyInArrow(
+        lambda rows: settle_shard(rows), "row long, begin long, end long")
+    windows = passages_.where("window IS NOT NULL").select("row", "first", "copies", "window", "anchor")
+    often = checkpoint(windows.groupBy("anchor", "window").agg(F.sum("copies").alias("n")).where("n > 1"))
+    counted = spread_join(windows.where("copies = 1"), often, ["anchor", "window"], "n", "left_semi").select("row", F.col("first").alias("begin"), (F.col("first") + SPAN).alias("end"))
     return span(shared.where("alike")).unionByName(twice).unionByName(settled).unionByName(counted)
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept): for every row of `docs` (doc_id, text) the words that stay, joined by one space."""
-    spans = removed_spans(docs).groupBy("doc_id").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+    """(doc_id, n_words, n_removed, kept): for every row of `docs` (doc_id, text) the words that stay, joined by one space.
+
+    The numbered rows are written, so a task that runs again finds the same numbers."""
+    numbered = checkpoint(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("binary").alias("text")))
+    spans = removed_spans(numbered.select("row", "text")).groupBy("row").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
 
     def run(batches):
         for batch in batches:
@@ -234,8 +257,8 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.string())],
                                              ["doc_id", "n_words", "n_removed", "kept"])
 
-    joined = docs.join(spans, "doc_id", "left").select("doc_id", F.col("text").cast("binary").alias("text"), "spans")
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    kind = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
+    return numbered.join(spans, "row", "left").select("doc_id", "text", "spans").mapInArrow(run, kind)
 
 
 @query("op6_substring_dedup")

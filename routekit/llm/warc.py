@@ -6,9 +6,10 @@ are streamed record by record to any store that Spark reaches, and committed tas
 its tasks. The reader takes the dictionary from the leading frame, decodes one frame at a time within a size limit, and
 checks header lines, the declared lengths and the payload digest; damaged records raise an error.
 
-Cases: null payloads are written as empty ones; equal payloads refer to the smallest id, ties cannot occur as ids name
-records (rows that repeat an id are all written and all come back); payloads below `min_revisit` bytes are always responses;
-null ids are written as records without a reference; urls that are null or hold line ends are escaped; an empty table gives
+Cases: null payloads are written as empty ones; equal payloads refer to the smallest id; rows that repeat an id are all
+written and all come back, each by its own payload: one with the smallest id of its payload is a response, any other a
+revisit; payloads below `min_revisit` bytes are always responses;
+null ids are written as responses without a reference, however often; urls that are null or hold line ends are escaped; an empty table gives
 an empty archive and result; other columns are left alone.
 """
 from __future__ import annotations
@@ -30,8 +31,8 @@ from routekit.operators.core import checkpoint, scratch_path
 # Frame magics of the Zstandard format, and the one that web archives give to the dictionary.
 FRAME, SKIPPABLE, DICTIONARY = 0xFD2FB528, 0x184D2A50, 0x184D2A5D
 EMPTY_FRAME = struct.pack("<II", SKIPPABLE, 0).decode("latin-1")  # eight bytes under 128: a valid line separator
-SAMPLE_PAGES, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 256, 16 << 10, 32 << 10, 3
-READ_STEP = 1 << 20
+SAMPLE_PAGES, SAMPLE_BYTES, LEAST_SAMPLE, DICTIONARY_BYTES, LEVEL = 256, 16 << 10, 64, 32 << 10, 3
+READ_STEP, READ_BATCH, READ_ROWS = 1 << 20, 4 << 20, 1024
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -44,9 +45,11 @@ def train_dictionary(pages: DataFrame) -> bytes:
     """A dictionary from the starts of SAMPLE_PAGES payloads with the smallest ids: it changes sizes, never contents."""
     ids = [r["id"] for r in pages.where("id IS NOT NULL").select("id").orderBy("id").limit(SAMPLE_PAGES).collect()]
     rows = pages.where(F.col("id").isin(ids)).select("id", F.substring("payload", 1, SAMPLE_BYTES).alias("p")).limit(2 * SAMPLE_PAGES).collect() if ids else []
-    samples = sorted(bytes(r["p"]) for r in rows if r["p"])
+    samples = sorted(bytes(r["p"]) for r in rows if r["p"] and len(r["p"]) >= LEAST_SAMPLE)
+    if len(samples) < 8 or sum(map(len, samples)) < DICTIONARY_BYTES:  # no gain, and the trainer ends the process on tiny samples
+        return b""
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes() if len(samples) > 7 else b""
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:  # too little or too uniform a sample
         return b""
 
@@ -67,8 +70,9 @@ def with_references(pages: DataFrame, min_revisit: int = 0) -> DataFrame:
     """`pages` (id, url, payload) with refers_to: the smallest id with an equal payload, null where the row is that one."""
     marks = checkpoint(pages.select("id", F.sha2("payload", 256).alias("sum"), F.octet_length("payload").alias("n")))
     firsts = marks.where((F.col("n") >= min_revisit) & F.col("id").isNotNull()).groupBy("sum", "n").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    later = marks.join(firsts, ["sum", "n"]).where("id > first").select("id", F.col("first").alias("refers_to")).distinct()
-    return pages.join(later, "id", "left")
+    later = marks.join(firsts, ["sum", "n"]).where("id > first").select("id", "sum", "n", F.col("first").alias("refers_to")).distinct()
+    named = pages.select("id", "url", "payload", F.sha2("payload", 256).alias("sum"), F.octet_length("payload").alias("n"))  # an id may repeat with another payload
+    return named.join(later, ["id", "sum", "n"], "left").drop("sum", "n")
 
 
 def write_archives(pages: DataFrame, path: str, min_revisit: int = 0) -> None:
@@ -191,11 +195,21 @@ def read_records(content: bytes):
 
 def read_archives(spark, path: str) -> DataFrame:
     """Every record of the archives in `path`: id, url, record_type, refers_to, payload_bytes, payload_digest, payload."""
+    def packed(records):
+        return pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in records], f.type) for f in FIELDS], schema=pa.schema(FIELDS))
+
     def run(batches):
         for batch in batches:
             for content in batch.column(0):
+                held, size = [], 0
                 for record in read_records(content.as_py()):
-                    yield pa.RecordBatch.from_arrays([pa.array([record[f.name]], f.type) for f in FIELDS], schema=pa.schema(FIELDS))
+                    held.append(record)
+                    size += len(record["payload"] or b"")
+                    if size >= READ_BATCH or len(held) >= READ_ROWS:
+                        yield packed(held)
+                        held, size = [], 0
+                if held:
+                    yield packed(held)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, SCHEMA)
 
