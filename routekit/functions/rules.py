@@ -17,6 +17,16 @@ AUTHORITATIVE_SOURCES = ["bifurcation-main", "branch-arm-rehomed", "branch-arm-r
                          "branch-arm-rehomed-topology", "override"]
 BLOCKING_SOURCES = ["jumpback-suppressed", "bifurcation-cleared"]
 MAIN_SOURCES = ["bifurcation-main", "inferred-label"]
+# Readings that lost or changed a digit, as bounds of the reading, of the expected number and of their gap,
+# and whether the expected number must end in the reading.
+TRUNCATIONS = [
+    {"reading": (None, 9), "expected": (50, None), "gap": (None, None), "ends": True},
+    {"reading": (35, 45), "expected": (65, None), "gap": (30, 30), "ends": False},
+    {"reading": (25, 35), "expected": (45, None), "gap": (20, 20), "ends": False},
+    {"reading": (None, 9), "expected": (50, None), "gap": (50, None), "ends": False},
+]
+# Two-digit readings with a misread first digit, and what to subtract, preferred first.
+NINETIES, NINETIES_LESS = (86, 99), (40, 38)
 
 
 def _c(value) -> Column:
@@ -66,21 +76,23 @@ def degree_class(degree) -> Column:
 def is_truncated(number, expected) -> Column:
     """A short or slipped reading of the expected number."""
     n, e = _c(number), _c(expected)
-    gap = e - n
-    tail = F.endswith(e.cast("string"), n.cast("string"))
-    hit = (((n <= 9) & (e >= 50) & tail)
-           | ((gap == 30) & n.between(35, 45) & (e >= 65))
-           | ((gap == 20) & n.between(25, 35) & (e >= 45))
-           | ((gap >= 50) & (n <= 9) & (e >= 50)))
+    value = {"reading": n, "expected": e, "gap": e - n}
+    hit = F.lit(False)
+    for case in TRUNCATIONS:
+        fits = F.endswith(e.cast("string"), n.cast("string")) if case["ends"] else F.lit(True)
+        for name, what in value.items():
+            low, high = case[name]
+            fits = fits & (what >= low if low is not None else F.lit(True)) & (what <= high if high is not None else F.lit(True))
+        hit = hit | fits
     return F.coalesce((n != e) & hit, F.lit(False))
 
 
 def nineties_candidates(number, max_number) -> Column:
-    """array<int>: repairs for a reading in 86..99, preferred first."""
+    """array<int>: repairs for a reading in NINETIES, preferred first."""
     n = _c(number)
-    both = F.array(n - 40, n - 38)
+    both = F.array(*(n - less for less in NINETIES_LESS))
     kept = F.filter(both, lambda c: (c >= 1) & (c <= _c(max_number)))
-    return F.when(n.between(86, 99), kept).otherwise(F.array().cast("array<int>"))
+    return F.when(n.between(*NINETIES), kept).otherwise(F.array().cast("array<int>"))
 
 
 def mirror_number(number, low, high) -> Column:

@@ -168,6 +168,11 @@ def _with_next(rows: DataFrame) -> DataFrame:
     return ordered_scan(rows, "route_id", "lo", chunk=number_chunk("lo"), lag={"_p": around}, lead={"_n": around})
 
 
+# Drawn over straight length of a corner span and of one with heavy detours; straight length over a
+# neighbour's drawn length of a squeezed span.
+CORNER_RATIO, HEAVY_RATIO, SQUEEZED_RATIO = 1.15, 1.25, 0.55
+
+
 def impute_spans(rows: DataFrame, skip: Column | None = None) -> DataFrame:
     """Fill same-page N→N+1 spans from the neighbouring labels, scaled by drawn length, left to right.
 
@@ -179,11 +184,11 @@ def impute_spans(rows: DataFrame, skip: Column | None = None) -> DataFrame:
     ready = _with_next(rows)
     next_same = F.col("_n.page_lo") == F.col("_n.page_hi")
     out_m = F.when(F.col("_n.meters") > 0, F.col("_n.meters"))
-    corner = ~next_same & (F.col("chord") > 1e-6) & (F.col("drawn") / F.col("chord") > 1.15)
+    corner = ~next_same & (F.col("chord") > 1e-6) & (F.col("drawn") / F.col("chord") > CORNER_RATIO)
     est_out = F.when(next_same & (F.col("_n.drawn") > 1e-6), out_m * F.col("drawn") / F.col("_n.drawn")).when(corner, out_m)
     in_ratio = F.when((F.col("_p.page_lo") == F.col("_p.page_hi")) & (F.col("_p.drawn") > 1e-6), F.col("drawn") / F.col("_p.drawn"))
     in_pt, out_pt = F.when(in_ratio.isNotNull(), F.col("_p.drawn")), F.when(next_same & (F.col("_n.drawn") > 1e-6) & (out_m > 0), F.col("_n.drawn"))
-    heavy = (F.col("chord") > 1e-6) & (F.col("drawn") / F.col("chord") > 1.25)
+    heavy = (F.col("chord") > 1e-6) & (F.col("drawn") / F.col("chord") > HEAVY_RATIO)
     ready = ready.select("route_id", "lo", "meters", open_span.alias("fill"), est_out.alias("est_out"), in_ratio.alias("in_ratio"), out_m.alias("out_m"),
                          heavy.alias("heavy"), F.col("chord").alias("chord"), in_pt.alias("in_pt"), out_pt.alias("out_pt"),
                          F.coalesce(F.col("tap"), F.lit(False)).alias("tap"))
@@ -191,7 +196,7 @@ def impute_spans(rows: DataFrame, skip: Column | None = None) -> DataFrame:
     def step(state, row):
         in_m = F.when(state["m"] > 0, state["m"])
         est_in = in_m * row["in_ratio"]
-        squeezed = row["chord"] / F.least(F.when(in_m > 0, row["in_pt"]), row["out_pt"]) < 0.55
+        squeezed = row["chord"] / F.least(F.when(in_m > 0, row["in_pt"]), row["out_pt"]) < SQUEEZED_RATIO
         mean = (in_m + row["out_m"]) / 2
         blend = F.greatest(est_in, row["est_out"], mean, F.when(row["tap"], est_in + row["est_out"]))
         both = est_in.isNotNull() & row["est_out"].isNotNull() & (row["heavy"] | F.coalesce(squeezed, F.lit(False)))

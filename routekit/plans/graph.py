@@ -223,8 +223,8 @@ def _(v):
     return gr.drop_transitive(drawn_conns(v))
 
 
-STA = """so AS (SELECT route_id, src, dst, source IN ('bifurcation-main', 'inferred-label') AS tg FROM cn WHERE NOT gap), fk AS (SELECT route_id, src, min(dst) FILTER (tg) AS mn FROM so GROUP BY ALL HAVING count(*) > 1),
- bs AS (SELECT DISTINCT so.route_id, dst AS number FROM so JOIN fk USING (route_id, src) WHERE CASE WHEN mn IS NOT NULL THEN dst <> mn ELSE dst = src + 1 OR abs(dst - src) > 1 END)"""
+STA = """so AS (SELECT route_id, src, dst, source IN ('bifurcation-main', 'inferred-label') AS tg FROM cn WHERE NOT gap), fk AS (SELECT route_id, src, list(DISTINCT dst) FILTER (tg) AS ms FROM so GROUP BY ALL HAVING count(DISTINCT dst) > 1),
+ bs AS (SELECT DISTINCT so.route_id, dst AS number FROM so JOIN fk USING (route_id, src) WHERE CASE WHEN len(ms) > 0 THEN len(ms) > list_contains(ms, dst)::INT ELSE dst = src + 1 OR abs(dst - src) > 1 END)"""
 MAIN = f"""{CON}, {STA}, me AS (SELECT route_id, src, dst FROM (SELECT so.*, row_number() OVER (PARTITION BY so.route_id, so.src ORDER BY CASE WHEN tg THEN 0 WHEN dst <> src + 1 AND hs AND EXISTS (SELECT 1 FROM so o WHERE o.route_id = so.route_id AND o.src = so.dst AND o.dst = so.dst + 1) THEN 1
    WHEN dst <> src + 1 AND hs AND EXISTS (SELECT 1 FROM so o WHERE o.route_id = so.route_id AND o.src = so.dst) THEN 2 WHEN dst = src + 1 THEN 3 WHEN (so.route_id, dst) NOT IN (SELECT (route_id, number) FROM bs) THEN 4 ELSE 5 END, dst) AS k
   FROM (SELECT *, bool_or(dst = src + 1) OVER (PARTITION BY route_id, src) AS hs FROM so) so) WHERE k = 1)"""
