@@ -79,3 +79,11 @@ def test_chunked_fold_hands_state_on(spark):
         for _, n, v in [r for r in rows if r[0] == k]:
             state = state * 0.5 + v
             assert got[(k, n)] == state
+
+
+def test_a_dense_table_is_not_broadcast_for_its_small_file(spark):
+    from routekit.plans.views import Views
+    Views(spark, "/root/testdata/sf0.001")
+    dense = core.checkpoint(spark.range(4_000_000).selectExpr("id div 64 AS route_id", "id % 64 AS lo"))
+    joined = spark.range(4_000_000).selectExpr("id AS route_id", "0L AS lo").join(dense, ["route_id", "lo"], "left")
+    assert "Broadcast" not in joined._jdf.queryExecution().sparkPlan().toString()
