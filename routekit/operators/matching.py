@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from routekit.functions import dist2d, point_segment, pole_type, text_anchor
-from routekit.operators.core import assign_1to1, greedy_pairs, knn, nearest, number_chunk, ordered_scan, radius_pairs
+from routekit.operators.core import assign_1to1, checkpoint, greedy_pairs, knn, nearest, number_chunk, ordered_scan, radius_pairs, union_all
 
 PAGE = ["route_id", "page"]
 # Distances in page points, candidate caps.
@@ -72,14 +72,12 @@ def snap_markers(markers: DataFrame, symbols: DataFrame, max_d: float = 150.0) -
 def widen_retry(left: DataFrame, right: DataFrame, radii=(60.0, 150.0), by=PAGE) -> DataFrame:
     """Nearest target within the first radius; rows without one try the next radius: by..., lid, rid, d, radius."""
     todo, parts = left, []
-    for radius in radii:
-        hit = nearest(todo, right, by, start=radius, limit=radius).withColumn("radius", F.lit(float(radius)))
+    for i, radius in enumerate(radii):
+        hit = checkpoint(nearest(todo, right, by, start=radius, limit=radius).withColumn("radius", F.lit(float(radius))))
         parts.append(hit)
-        todo = todo.join(hit.select(*by, "lid"), [*by, "lid"], "left_anti")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        if i + 1 < len(radii):
+            todo = checkpoint(todo.join(hit.select(*by, "lid"), [*by, "lid"], "left_anti"))
+    return union_all(parts)
 
 
 def fallback_positions(poles: DataFrame, markers: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -87,3 +87,13 @@ def test_a_dense_table_is_not_broadcast_for_its_small_file(spark):
     dense = core.checkpoint(spark.range(4_000_000).selectExpr("id div 64 AS route_id", "id % 64 AS lo"))
     joined = spark.range(4_000_000).selectExpr("id AS route_id", "0L AS lo").join(dense, ["route_id", "lo"], "left")
     assert "Broadcast" not in joined._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_a_row_is_offered_to_few_cells_and_no_pair_is_lost(spark):
+    rng = random.Random(5)
+    spots = [(i, rng.choice([rng.uniform(-9, 9), float(rng.randrange(-9, 9))]), float(rng.randrange(-9, 9))) for i in range(150)]
+    left, right = spark.createDataFrame(spots, "lid int, lx double, ly double"), spark.createDataFrame(spots, "rid int, rx double, ry double")
+    for radius in (1.0, 2.5):
+        assert core.cells(right, ["rx", "ry"], radius, halo=True).count() < 7 * len(spots)
+        got = {(r.lid, r.rid) for r in core.radius_pairs(left, right, radius).collect()}
+        assert got == {(i, j) for i, a, b in spots for j, c, d in spots if math.sqrt((c - a) * (c - a) + (d - b) * (d - b)) <= radius}
