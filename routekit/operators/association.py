@@ -95,13 +95,13 @@ def associate(poles: DataFrame, labels: DataFrame, scales: DataFrame, overrides:
 
 
 def merge_spans(seq: DataFrame, inferred: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
-    """Consecutive spans plus the inferred pairs they lack; overrides (route_id, lo, hi, meters) win last."""
+    """Consecutive spans plus the inferred pairs they lack; overrides (route_id, lo, hi, meters) win last, a zero too."""
     columns = [*EDGE, "meters", "source"]
     extra = inferred.join(seq.select(*EDGE), EDGE, "left_anti")
     merged = seq.select(*columns).unionByName(extra.select(*columns))
     if overrides is None:
         return merged
-    by_hand = overrides.where(F.col("meters") > 0).select(*EDGE, F.col("meters").alias("_o"))
+    by_hand = overrides.where("meters IS NOT NULL").select(*EDGE, F.col("meters").alias("_o"))
     return merged.join(by_hand, EDGE, "left").select(*EDGE, F.coalesce("_o", "meters").alias("meters"), F.when(F.col("_o").isNotNull(), "override").otherwise(F.col("source")).alias("source"))
 
 

@@ -127,3 +127,10 @@ def test_map_text(spark):
     conns = spark.createDataFrame([(1, 5, 12, False, None)], "route_id long, src int, dst int, gap boolean, source string")
     line = output.line_placemarks(graph.route_polylines(conns), poles).first()
     assert line.n_points == 2 and "Poste 05 → Poste 12" in line.text
+
+
+def test_an_override_of_zero_metres_wins(spark):
+    seq = spark.createDataFrame([(1, 1, 2, 27.0, "legacy-midpoint"), (1, 2, 3, 28.0, "legacy-midpoint")], "route_id long, lo int, hi int, meters double, source string")
+    by_hand = spark.createDataFrame([(1, 1, 2, 0.0), (1, 2, 3, None)], "route_id long, lo int, hi int, meters double")
+    got = {(r.lo, r.meters, r.source) for r in asn.merge_spans(seq, seq.where("false"), by_hand).collect()}
+    assert got == {(1, 0.0, "override"), (2, 28.0, "legacy-midpoint")}
