@@ -317,3 +317,16 @@ def test_secrets(spark, empty):
         assert r.secret == (not r.found.isdigit() and r.doc_id != 104), r
     assert {r.doc_id for r in got} == {*range(40), 100, 101, 104}
     assert secrets.scan(empty).count() == 0
+
+
+def test_licences_learn_from_every_plain_paragraph(spark, monkeypatch):
+    seen, given = [], licences.examples
+
+    def spy(*args):
+        out = given(*args)
+        seen.append(out.where("label = 0").count())
+        return out
+
+    monkeypatch.setattr(licences, "examples", spy)
+    licences.scan(spark.range(9000).selectExpr("id AS doc_id", "concat('paragraph of plain words ', id) AS text"))
+    assert seen == [9000]
