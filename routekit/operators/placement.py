@@ -364,16 +364,43 @@ def fit_page_origins(xf: DataFrame, poles: DataFrame, spans: DataFrame, anchor_p
 
 # ---------------------------------------------------------------- propagation on the base
 
+def _locked(places: DataFrame, base: DataFrame, snap_r: float) -> DataFrame:
+    """Places (route_id, node, e, n), moved onto the base pole within snap_r that is clearly nearer than any other."""
+    pairs = radius_pairs(side(places, "l", "node", "e", "n", by=["route_id"]), side(base, "r", "idx", by=["route_id"]), snap_r * SNAP_MARGIN, ["route_id"])
+    two = pairs.groupBy("route_id", F.col("lid").alias("node")).agg(F.min(F.struct("d", "rx", "ry")).alias("_b"), F.slice(F.array_sort(F.collect_list("d")), 2, 1).alias("_s"))
+    clear = (F.col("_b.d") <= snap_r) & F.coalesce(F.try_element_at("_s", F.lit(1)) >= F.col("_b.d") * SNAP_MARGIN, F.lit(True))
+    return places.join(two.where(clear).select("route_id", "node", "_b.rx", "_b.ry"), ["route_id", "node"], "left").select("route_id", "node", F.coalesce("rx", "e").alias("e"), F.coalesce("ry", "n").alias("n"))
+
+
+def _settled(steps: DataFrame, starts: DataFrame, drawn: DataFrame, lock) -> DataFrame:
+    """Places (route_id, node, e, n) in which every pole is one step from its parent, locked; `starts` keep their own."""
+    key = ["route_id", "node"]
+    first = starts.unionByName(lock(drawn.join(steps.select(*key), key).select(*key, "e", "n")))
+    places = checkpoint(first.withColumn("fresh", F.lit(True)))
+    while True:
+        ahead = places.where("fresh").select("route_id", F.col("node").alias("parent"), "e", "n")
+        moved = steps.join(ahead, ["route_id", "parent"]).select(*key, (F.col("e") + F.col("_dx")).alias("e"), (F.col("n") + F.col("_dy")).alias("n"))
+        moved = lock(moved).select(*key, F.struct("e", "n").alias("_to"))
+        other = F.col("_to").isNotNull() & ~F.col("_to").eqNullSafe(F.struct("e", "n"))
+        now = places.join(moved, key, "left").select(*key, F.coalesce("_to.e", "e").alias("e"), F.coalesce("_to.n", "n").alias("n"), other.alias("fresh"))
+        places = checkpoint(now)
+        if places.where("fresh").isEmpty():
+            return places.drop("fresh")
+
+
 def propagate_positions(conns: DataFrame, anchors: DataFrame, poles: DataFrame, base: DataFrame | None = None, median_span: float = 30.0, snap_r: float = 10.0) -> DataFrame:
     """Predicted positions from the anchor along the least uncertain chain: route_id, number, e, n, hops.
 
     conns: route_id, u, v, meters, source; poles: route_id, number, e, n (drawn positions, for direction and for
-    unlabelled lengths); anchors: route_id, number, e, n. A trusted label costs 1, any other hop 1 + length/median. The
-    cheapest tree is built first (frontier relaxation), then positions go down it level by level; with base
-    (route_id, idx, x, y) a position locks onto a base pole that is clearly nearest. Poles no chain reaches keep their
-    drawn position with 20 hops.
+    unlabelled lengths); anchors: route_id, number, e, n. A trusted label costs 1, any other hop 1 + length/median. Costs
+    come from the contracted chains of `shortest_lengths`, and a pole's parent is the neighbour (ties: the lowest) over which
+    its cost is least. With base (route_id, idx, x, y) a position locks onto a base pole that is clearly nearest. Every
+    position then starts as the drawn one, locked, and is worked out again from its parent until none changes, which equals
+    going down the tree: only poles after a change are done again, so rounds follow the longest stretch on which a wrong
+    start lasts, and not the route. Without base, positions are sums of steps. Poles no chain reaches keep their drawn
+    position with 20 hops.
     """
-    from routekit.operators.graph import both_ways
+    from routekit.operators.graph import both_ways, doubled, shortest_lengths
     drawn = poles.select("route_id", "number", "e", "n")
     at = lambda s: drawn.select("route_id", F.col("number").alias(s), F.col("e").alias(f"{s}e"), F.col("n").alias(f"{s}n"))
     trusted = (F.col("meters") > 0) & ~F.coalesce(F.col("source").isin(INVENTED_SOURCES), F.lit(False))
@@ -382,32 +409,22 @@ def propagate_positions(conns: DataFrame, anchors: DataFrame, poles: DataFrame,
     length = F.coalesce("m", "gap")
     links = checkpoint(links.select("route_id", "u", "v", length.alias("d"), F.when(F.col("m").isNotNull(), 1.0).otherwise(1 + F.col("gap") / median_span).alias("cost"),
                                     ((F.col("ve") - F.col("ue")) / F.nullif("gap", F.lit(0.0))).alias("dx"), ((F.col("vn") - F.col("un")) / F.nullif("gap", F.lit(0.0))).alias("dy")))
-    best = checkpoint(anchors.select("route_id", F.col("number").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast("int").alias("parent")))
-    frontier = best
-    while True:
-        reach = links.withColumnRenamed("cost", "_c").join(frontier.select("route_id", F.col("node").alias("u"), "cost"), ["route_id", "u"])
-        offer = reach.groupBy("route_id", F.col("v").alias("node")).agg(F.min(F.struct((F.col("cost") + F.col("_c")).alias("cost"), F.col("u").alias("parent"))).alias("_o"))
-        nearer = offer.join(best.select("route_id", "node", F.col("cost").alias("_was")), ["route_id", "node"], "left").where(F.col("_was").isNull() | (F.col("_o.cost") < F.col("_was")))
-        frontier = checkpoint(nearer.select("route_id", "node", F.col("_o.cost").alias("cost"), F.col("_o.parent").cast("int").alias("parent")))
-        if frontier.isEmpty():
-            break
-        best = checkpoint(best.join(frontier.select("route_id", "node"), ["route_id", "node"], "left_anti").unionByName(frontier))
-    steps = checkpoint(best.where("parent IS NOT NULL").join(links.select("route_id", F.col("u").alias("parent"), F.col("v").alias("node"), "d", "dx", "dy"), ["route_id", "parent", "node"]))
-    level = checkpoint(anchors.select("route_id", F.col("number").alias("node"), "e", "n"))
-    out = [level]
-    while True:
-        moved = steps.join(level.select("route_id", F.col("node").alias("parent"), F.col("e").alias("pe"), F.col("n").alias("pn")), ["route_id", "parent"])
-        moved = moved.select("route_id", "node", (F.col("pe") + F.coalesce("dx", F.lit(1.0)) * F.col("d")).alias("e"), (F.col("pn") + F.coalesce("dy", F.lit(0.0)) * F.col("d")).alias("n"))
-        if base is not None:
-            pairs = radius_pairs(side(moved, "l", "node", "e", "n", by=["route_id"]), side(base, "r", "idx", by=["route_id"]), snap_r * SNAP_MARGIN, ["route_id"])
-            two = pairs.groupBy("route_id", F.col("lid").alias("node")).agg(F.min(F.struct("d", "rx", "ry")).alias("_b"), F.slice(F.array_sort(F.collect_list("d")), 2, 1).alias("_s"))
-            clear = (F.col("_b.d") <= snap_r) & F.coalesce(F.try_element_at("_s", F.lit(1)) >= F.col("_b.d") * SNAP_MARGIN, F.lit(True))
-            moved = moved.join(two.where(clear).select("route_id", "node", "_b.rx", "_b.ry"), ["route_id", "node"], "left").select("route_id", "node", F.coalesce("rx", "e").alias("e"), F.coalesce("ry", "n").alias("n"))
-        level = checkpoint(moved)
-        if level.isEmpty():
-            break
-        out.append(level)
-    placed = union_all(out).join(best.select("route_id", "node", F.ceil("cost").cast("int").alias("hops")), ["route_id", "node"]).select("route_id", F.col("node").alias("number"), "e", "n", "hops")
+    starts = anchors.select("route_id", F.col("number").alias("node"), "e", "n")
+    costs = shortest_lengths(links.select("route_id", "u", "v", F.col("cost").alias("w")), starts, source=F.lit(0))
+    costs = checkpoint(costs.select("route_id", "node", F.round("length", 9).alias("cost")))
+    over = links.withColumnRenamed("cost", "_c").join(costs.select("route_id", F.col("node").alias("u"), "cost"), ["route_id", "u"])
+    offer = F.struct(F.round(F.col("cost") + F.col("_c"), 9).alias("cost"), F.col("u").alias("parent"), "d", "dx", "dy")
+    steps = over.groupBy("route_id", F.col("v").alias("node")).agg(F.min(offer).alias("_o")).join(starts.select("route_id", "node"), ["route_id", "node"], "left_anti")
+    step = lambda way, other: (F.coalesce(F.col(f"_o.{way}"), F.lit(other)) * F.col("_o.d")).alias(f"_{way}")
+    steps = checkpoint(steps.select("route_id", "node", "_o.parent", step("dx", 1.0), step("dy", 0.0)))
+    if base is None:
+        tree = steps.select("route_id", F.col("node").alias("e"), F.col("parent").alias("p"), "_dx", "_dy")
+        tree = tree.unionByName(starts.select("route_id", F.col("node").alias("e"), F.lit(None).cast(tree.schema["p"].dataType).alias("p"), F.lit(0.0).alias("_dx"), F.lit(0.0).alias("_dy")))
+        way = doubled(tree, ["route_id"], ("_dx", "_dy")).select("route_id", F.col("e").alias("number"), F.col("last").alias("node"), "_dx", "_dy")
+        places = way.join(starts, ["route_id", "node"]).select("route_id", F.col("number").alias("node"), (F.col("e") + F.col("_dx")).alias("e"), (F.col("n") + F.col("_dy")).alias("n"))
+    else:
+        places = _settled(steps, starts, drawn.withColumnRenamed("number", "node"), lambda rows: _locked(rows, base, snap_r))
+    placed = places.join(costs, ["route_id", "node"]).select("route_id", F.col("node").alias("number"), "e", "n", F.ceil("cost").cast("int").alias("hops"))
     rest = drawn.join(placed.select("route_id", "number"), ["route_id", "number"], "left_anti").withColumn("hops", F.lit(FALLBACK_HOPS))
     return placed.unionByName(rest)
 

@@ -1,0 +1,38 @@
+"""Positions along the cheapest chains against a plain walk down the tree, and the rounds that a long route takes."""
+import math
+
+from routekit.operators import graph, placement
+
+
+def walk(poles, spans, base):
+    """Positions of one chain of trusted spans from pole 1, each locked onto a base pole that is clearly nearest."""
+    out, here = {1: poles[1]}, poles[1]
+    for k in range(2, len(poles) + 1):
+        (ax, ay), (bx, by) = poles[k - 1], poles[k]
+        gap = math.dist((ax, ay), (bx, by))
+        here = (here[0] + (bx - ax) / gap * spans[k - 1], here[1] + (by - ay) / gap * spans[k - 1])
+        near = sorted((math.dist(here, b), b) for b in base if math.dist(here, b) <= 15)
+        if near and near[0][0] <= 10 and (len(near) == 1 or near[1][0] >= 1.5 * near[0][0]):
+            here = near[0][1]
+        out[k] = here
+    return out
+
+
+def test_a_long_route_settles_in_few_rounds(spark, monkeypatch):
+    written = []
+    for module in (graph, placement):
+        monkeypatch.setattr(module, "checkpoint", lambda df, save=module.checkpoint: (written.append(1), save(df))[1])
+    n = 48
+    poles = {k: (30.0 * k, 5.0 * (k % 3)) for k in range(1, n + 1)}
+    spans = {k: 30.0 + (k % 7 - 3) * 0.8 + (14.0 if k in (40, 41) else 0.0) for k in range(1, n)}
+    base = [(x + 0.5, y - 0.5) for k, (x, y) in poles.items() if k % 10 not in (4, 5)]
+    conns = spark.createDataFrame([(7, k, k + 1, m, "legacy-midpoint") for k, m in spans.items()], "route_id long, u int, v int, meters double, source string")
+    drawn = spark.createDataFrame([(7, k, *p) for k, p in poles.items()], "route_id long, number int, e double, n double")
+    real = spark.createDataFrame([(7, k, *b) for k, b in enumerate(base)], "route_id long, idx long, x double, y double")
+    for some, known in ((real, base), (None, [])):
+        got = placement.propagate_positions(conns, drawn.where("number = 1"), drawn, some).collect()
+        want = walk(poles, spans, known)
+        assert {r.number: r.hops for r in got} == {k: k - 1 for k in poles}
+        assert all(math.dist((r.e, r.n), want[r.number]) < 1e-6 for r in got)
+    print(len(written), "tables written")
+    assert len(written) < 2 * n  # both runs; a level a round took over 4 n
