@@ -97,6 +97,7 @@ def merge_candidates(a: DataFrame, b: DataFrame, key=("route_id", "number", "rid
 
 def numbering_jumps(poles: DataFrame, min_pt: float = JUMP_MIN_PT) -> DataFrame:
     """Branch starts: a number gap with a jump of over 100 pt, and the nearest earlier pole as its junction."""
+    poles = checkpoint(poles.select("route_id", "number", "x", "y"))  # read for the neighbours and as places to join
     rows = ordered_scan(poles, "route_id", "number", chunk=number_chunk(), lag={"_p": F.struct("number", "x", "y")})
     jump = rows.where((F.col("number") - F.col("_p.number") > 1) & (dist2d("x", "y", "_p.x", "_p.y") > min_pt))
     left, right = side(jump, "l", "number", by=["route_id"]), side(poles, "r", "number", by=["route_id"])
