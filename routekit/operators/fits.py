@@ -10,6 +10,7 @@ from routekit.operators.core import number_chunk, ordered_scan, true_median
 PAGE = ["route_id", "page"]
 # Fit limits.
 MIN_CONTROLS, MAX_CONTROL_ERROR_M = 4, 2.0
+NOISE = 1e-12  # of a moment's scale: rounding of sums
 CHORD_MIN_PT, SCALE_MIN_SAMPLES = 5.0, 3
 REFIT_MAX_DEG, REFIT_MAX_SCALE, REFIT_MAX_RMSE_GAIN = 6.0, 0.06, 0.5
 
@@ -126,9 +127,15 @@ def regression_bearing(points: DataFrame, by) -> DataFrame:
 
 
 def principal_axis(points: DataFrame, by) -> DataFrame:
-    """Direction of largest spread: (by..., theta, ux, uy)."""
+    """Direction of largest spread: (by..., theta, ux, uy).
+
+    Moments differ in their last digits with the order in which rows are merged. Where the true covariance, or the
+    difference of the variances, is zero, that alone would turn the axis round; what is no more than rounding counts as zero.
+    """
     by = [by] if isinstance(by, str) else list(by)
-    theta = 0.5 * F.atan2(2 * F.covar_pop("x", "y"), F.var_pop("x") - F.var_pop("y"))
+    cov, vx, vy = F.covar_pop("x", "y"), F.var_pop("x"), F.var_pop("y")
+    settled = lambda c, scale: F.when(F.abs(c) <= NOISE * scale, 0.0).otherwise(c)
+    theta = 0.5 * F.atan2(2 * settled(cov, F.sqrt(vx * vy)), settled(vx - vy, vx + vy))
     rows = points.groupBy(*by).agg(theta.alias("theta"))
     return rows.select(*by, "theta", F.cos("theta").alias("ux"), F.sin("theta").alias("uy"))
 
