@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from routekit.functions import (INVENTED_SOURCES, destination, dist2d, edge_cost, gps_chord_side, gps_foot_on_chord, gps_lateral_m,
                                 gps_reflect, gps_shrink_lateral, chord_side, haversine_m, page_to_gps, page_to_utm, rotate, trilaterate)
-from routekit.operators.core import checkpoint, chunked_fold, nearest, number_chunk, ordered_scan, radius_pairs, union_all
+from routekit.operators.core import checkpoint, chunked_fold, nearest, number_chunk, ordered_scan, radius_pairs, real, union_all
 from routekit.operators.fits import similarity_fit
 from routekit.operators.linework import PATH, point_at_arc
 from routekit.operators.matching import side
@@ -290,6 +290,119 @@ def _solve(batches):
         yield pd.DataFrame(out, columns=["route_id", "page", "de", "dn", "dt"])
 
 
+_FIT = T.StructType([*_STEP.fields[:2], *[T.StructField(c, T.DoubleType()) for c in ("origin_e", "origin_n", "theta", "rmse0", "rmse")]])
+_OBS = ("ap", "bp", "ax", "ay", "as", "bx", "by", "bs", "meters")
+_PAGES = ("page", "origin_e", "origin_n", "theta", "wt")
+SMALL_OBS, SMALL_PAGES, AT_ONCE = 256, 16, 1000
+
+
+def _fit_batch(batch, rounds: int, damping: float):
+    """The rounds of fit_page_origins for the routes of one Arrow batch (lists of _OBS and _PAGES a row), all in step."""
+    import numpy as np
+    import pyarrow as pa
+    col = lambda c: batch.column(batch.schema.names.index(c)).flatten().to_numpy(zero_copy_only=False)
+    lengths = lambda c: batch.column(batch.schema.names.index(c)).value_lengths().to_numpy(zero_copy_only=False)
+    routes = batch.num_rows
+    of_obs, of_page = np.repeat(np.arange(routes), lengths("ap")), np.repeat(np.arange(routes), lengths("page"))
+    ap, bp, ax, ay, a_s, bx, by, b_s, meters = (col(c) for c in _OBS)
+    page, oe, on, th, wt = (col(c) for c in _PAGES)
+    known = np.unique(page)
+    key = lambda route, p: route * len(known) + np.searchsorted(known, p)
+    a, b = (np.searchsorted(key(of_page, page), key(of_obs, p)) for p in (ap, bp))  # pages come in order
+    th0, free = th.copy(), ~np.isnan(wt)
+    before = np.cumsum(free) - free
+    first = np.concatenate([[0], np.cumsum(lengths("page"))[:-1]])
+    place = before - before[first][of_page]  # of a free page among those of its route
+    size = 3 * int((place + 1)[free].max(initial=0))
+    de, dn, dt = np.zeros(len(page)), np.zeros(len(page)), np.zeros(len(page))
+    lam, rmse, rmse0, done = np.full(routes, damping), np.full(routes, np.nan), np.full(routes, np.nan), np.zeros(routes, bool)
+    for _ in range(rounds):
+        te, tn, tt = oe + de, on + dn, th + dt
+        at = np.flatnonzero(~done[of_obs])
+        i, j, route = a[at], b[at], of_obs[at]
+
+        def end(k, x, y, scale):
+            c, d = scale * (np.cos(tt[k]) * x + np.sin(tt[k]) * y), scale * (np.cos(tt[k]) * y - np.sin(tt[k]) * x)
+            return te[k] + c, tn[k] - d, d, scale * (np.sin(tt[k]) * y + np.cos(tt[k]) * x)
+
+        ea, na, kea, kna = end(i, ax[at], ay[at], a_s[at])
+        eb, nb, keb, knb = end(j, bx[at], by[at], b_s[at])
+        dx, dy = eb - ea, nb - na
+        length = np.maximum(np.sqrt(dx * dx + dy * dy), 1e-9)
+        r, ux, uy = length - meters[at], dx / length, dy / length
+        count = np.bincount(route, minlength=routes)
+        now = np.sqrt(np.bincount(route, r * r, routes) / np.maximum(count, 1))
+        start = np.isnan(rmse)
+        better = ~done & (start | (now < rmse))
+        least = np.where(start, now, np.minimum(rmse, now))
+        stop = done | (least < 0.5) | (better & ~start & (rmse - now < 1e-3)) | (lam > 1e6)
+        lam = np.where(start, lam, np.where(better, lam / 2, lam * 5))
+        rmse, rmse0 = np.where(done, rmse, least), np.where(np.isnan(rmse0), now, rmse0)
+        took = better[of_page]
+        oe, on, th = np.where(took, te, oe), np.where(took, tn, on), np.where(took, tt, th)
+        kept, again = better & ~stop, (~better & ~stop)[of_page]
+        done = stop
+        if done.all():
+            break
+        number = np.cumsum(kept) - kept  # of a route among those that are solved
+        m = int(kept.sum())
+        h, g = np.zeros(m * size * size), np.zeros(m * size)
+        mine = kept[route]
+        entries = [(k[mine], v, c[mine]) for k, sign, ke, kn in ((i, -1, kea, kna), (j, 1, keb, knb)) for v, c in enumerate((sign * ux, sign * uy, sign * (ux * ke + uy * kn)))]
+        base = number[route[mine]] * size
+        for k, v, c in entries:
+            row, use = base + 3 * place[k] + v, free[k]
+            g += np.bincount(row[use], (c * r[mine])[use], m * size)
+            for l, w, d in entries:
+                both = use & free[l]
+                h += np.bincount((row * size + 3 * place[l] + w)[both], (c * d)[both], m * size * size)
+        p = np.flatnonzero(free & kept[of_page])
+        row = number[of_page[p]] * size + 3 * place[p] + 2
+        g[row] += wt[p] * (th[p] - th0[p])
+        h[row * size + 3 * place[p] + 2] += wt[p]
+        h, g = h.reshape(m, size, size), g.reshape(m, size)
+        diagonal = np.einsum("kii->ki", h)
+        diagonal += lam[kept][:, None] * np.maximum(diagonal, 1e-9)
+        used = np.bincount(of_page[free], minlength=routes)[kept] * 3
+        diagonal[np.arange(size) >= used[:, None]] = 1  # places that a route has no page for
+        step = np.zeros((m, size))
+        try:
+            step = np.linalg.solve(h, -g[:, :, None])[:, :, 0]
+        except np.linalg.LinAlgError:
+            for k in range(m):
+                try:
+                    step[k] = np.linalg.solve(h[k], -g[k])
+                except np.linalg.LinAlgError:
+                    pass
+        # a rejected step is retried at a fifth
+        de, dn, dt = (np.where(again, d / 5, 0.0) for d in (de, dn, dt))
+        for v, d in enumerate((de, dn, dt)):
+            d[p] = step[number[of_page[p]], 3 * place[p] + v]
+    route_id = batch.column(0).take(pa.array(of_page))
+    return pa.RecordBatch.from_arrays([route_id, pa.array(page, pa.int32()), *(pa.array(x, pa.float64()) for x in (oe, on, th, rmse0[of_page], rmse[of_page]))], _FIT.names)
+
+
+def _fit_small(obs: DataFrame, pages: DataFrame, rounds: int, damping: float) -> DataFrame:
+    """fit_page_origins for routes of few spans and pages whose figures are all given: each route is one row, fitted in one go."""
+    listed = lambda df, names, order: df.groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct(*order, *(F.col(c).alias(f"_{c}") for c in names)))).alias("_l")).select(
+        "route_id", *(F.transform("_l", lambda x: x[f"_{c}"]).alias(c) for c in names))
+    rows = listed(obs, _OBS, ["lo", "hi"]).join(listed(pages, _PAGES, ["page"]), "route_id")
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, AT_ONCE):
+                yield _fit_batch(batch.slice(at, AT_ONCE), rounds, damping)
+
+    return rows.mapInArrow(run, _FIT)
+
+
+def _small_routes(obs: DataFrame, pages: DataFrame) -> DataFrame:
+    given = lambda *names: F.min(F.when(real(*names), 1).otherwise(0))
+    few = obs.groupBy("route_id").agg(F.count("*").alias("_n"), given("ax", "ay", "as", "bx", "by", "bs", "meters").alias("_g")).where((F.col("_n") <= SMALL_OBS) & (F.col("_g") == 1))
+    part = pages.groupBy("route_id").agg(F.count("*").alias("_p"), F.count_distinct("page").alias("_q"), given("origin_e", "origin_n", "theta").alias("_h")).where((F.col("_p") <= SMALL_PAGES) & (F.col("_p") == F.col("_q")) & (F.col("_h") == 1))
+    return few.join(part, "route_id").select("route_id")
+
+
 def fit_page_origins(xf: DataFrame, poles: DataFrame, spans: DataFrame, anchor_pages: DataFrame, rounds: int = 50, damping: float = 1e-3) -> DataFrame:
     """Least squares for the origin and rotation of every page but the anchor's, so that span lengths meet their labels.
 
@@ -297,6 +410,7 @@ def fit_page_origins(xf: DataFrame, poles: DataFrame, spans: DataFrame, anchor_p
     route (three unknowns per page). A step is kept where the route's RMSE drops; damping halves then, else grows
     fivefold. A weak prior holds the rotation (weight 10 with under two page-crossing labels, else 0.01). A route stops
     under 0.5 m or once a kept step gains under 0.001 m. Result: route_id, page, origin_e, origin_n, theta, rmse0, rmse.
+    Routes of few spans and pages are fitted in one go; the others, and those with figures missing, go through written rounds.
     """
     at = lambda s, n: poles.select("route_id", F.col("number").alias(n), F.col("page").alias(f"{s}p"), F.col("x").alias(f"{s}x"), F.col("y").alias(f"{s}y"))
     scales = lambda s: xf.select("route_id", F.col("page").alias(f"{s}p"), F.col("sx").alias(f"{s}s"))
@@ -309,6 +423,12 @@ def fit_page_origins(xf: DataFrame, poles: DataFrame, spans: DataFrame, anchor_p
     prior = free.join(crossing, PAGE, "left").select(*PAGE, F.when(F.coalesce("_c", F.lit(0)) < 2, 10.0).otherwise(0.01).alias("wt"))
     pages = checkpoint(xf.join(enough, "route_id", "left_semi").join(prior, PAGE, "left")
                        .select(*PAGE, "origin_e", "origin_n", "theta", F.col("theta").alias("theta0"), "wt", F.lit(0.0).alias("de"), F.lit(0.0).alias("dn"), F.lit(0.0).alias("dt")))
+    small = checkpoint(_small_routes(obs, pages))
+    fitted = _fit_small(obs.join(small, "route_id", "left_semi"), pages.join(small, "route_id", "left_semi"), rounds, damping)
+    enough = checkpoint(enough.join(small, "route_id", "left_anti"))
+    if enough.isEmpty():
+        return fitted
+    obs, pages = (checkpoint(df.join(enough, "route_id", "left_semi")) for df in (obs, pages))
     route = checkpoint(enough.select("route_id", F.lit(damping).alias("lam"), F.lit(None).cast("double").alias("rmse"), F.lit(None).cast("double").alias("rmse0"), F.lit(False).alias("done")))
     for _ in range(rounds):
         tried = pages.withColumns({"te": F.col("origin_e") + F.col("de"), "tn": F.col("origin_n") + F.col("dn"), "tt": F.col("theta") + F.col("dt")})
@@ -359,7 +479,8 @@ def fit_page_origins(xf: DataFrame, poles: DataFrame, spans: DataFrame, anchor_p
         old = tried.join(judged.where("NOT took AND NOT stop").select("route_id"), "route_id", "left_semi").select(*PAGE, (F.col("de") / 5).alias("de"), (F.col("dn") / 5).alias("dn"), (F.col("dt") / 5).alias("dt"))
         step = steps.unionByName(old)
         pages = checkpoint(moved.join(step, PAGE, "left").fillna({"de": 0.0, "dn": 0.0, "dt": 0.0}))
-    return pages.join(route.select("route_id", "rmse0", "rmse"), "route_id").select(*PAGE, "origin_e", "origin_n", "theta", "rmse0", "rmse")
+    rest = pages.join(route.select("route_id", "rmse0", "rmse"), "route_id").select(*PAGE, "origin_e", "origin_n", "theta", "rmse0", "rmse")
+    return fitted.unionByName(rest)
 
 
 # ---------------------------------------------------------------- propagation on the base
